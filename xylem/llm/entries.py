@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import quality
+from xylem.llm import quality, simhash
 from xylem.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
