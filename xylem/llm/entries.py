@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import quality, simhash
+from xylem.llm import decontam, langid, packing, quality, simhash
 from xylem.llm.common import table
 
 
+def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_byte_rnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -16,9 +24,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_template_leaks": op5_template_leaks,
+    "op6_byte_rnn": op6_byte_rnn,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_simhash": op9_simhash,
+    "op10_best_fit": op10_best_fit,
 }
 
 ORACLE_SQL = {
