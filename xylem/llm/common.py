@@ -63,6 +63,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def pinned(column: Column) -> Column:
+    """A long column plus floor(rand()), which is always 0.
+
+    Catalyst doesn't move a filter below a projection that isn't deterministic, so what the column is
+    made of is evaluated once and isn't written out again within the filter.
+    """
+    return (column + F.floor(F.rand()).cast("long")).cast("long")
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; none for an empty or blank text."""
     trimmed = F.btrim(text, F.lit(BLANK_CHARS))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import whole_text, words
+from xylem.llm.common import pinned, whole_text, words
 
 #: Words of a window that counts as repeated when the text holds it twice or more.
 WINDOW = 8
@@ -75,7 +75,7 @@ def with_bits(measured: DataFrame) -> DataFrame:
     bits: Column = F.lit(0)
     for name, condition in RULES:
         bits = bits + F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("long"))
+    return measured.withColumn("fail_bits", pinned(bits.cast("long")))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
