@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import decontam, langid, packing, quality, simhash
+from xylem.llm import decontam, langid, ngram, packing, quality, simhash
 from xylem.llm.common import table
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +33,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_trie": op2_ngram_trie,
     "op5_template_leaks": op5_template_leaks,
     "op6_byte_rnn": op6_byte_rnn,
     "op8_rule_ledger": op8_rule_ledger,
