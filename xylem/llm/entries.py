@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import decontam, langid, ngram, packing, quality, simhash
+from xylem.llm import decontam, hosts, langid, ngram, packing, quality, simhash, warc
 from xylem.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.scores(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +24,10 @@ def op6_byte_rnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op7_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -34,13 +42,17 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_trie": op2_ngram_trie,
+    "op4_warc": op4_warc,
     "op5_template_leaks": op5_template_leaks,
     "op6_byte_rnn": op6_byte_rnn,
+    "op7_host_graph": op7_host_graph,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_simhash": op9_simhash,
     "op10_best_fit": op10_best_fit,
 }
 
 ORACLE_SQL = {
+    "op4_warc": warc.ORACLE,
+    "op7_host_graph": hosts.oracle(),
     "op8_rule_ledger": quality.ORACLE,
 }
