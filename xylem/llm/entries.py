@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import decontam, hosts, langid, ngram, packing, quality, simhash, warc
+from xylem.llm import decontam, hosts, langid, licenses, ngram, packing, quality, simhash, tokens, warc
 from xylem.llm.common import table
 
 
+def op1_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.scores(table(spark, sf_dir, "documents"))
 
 
+def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.packed(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -41,7 +49,9 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentence_rules": op1_sentence_rules,
     "op2_ngram_trie": op2_ngram_trie,
+    "op3_token_matrices": op3_token_matrices,
     "op4_warc": op4_warc,
     "op5_template_leaks": op5_template_leaks,
     "op6_byte_rnn": op6_byte_rnn,
