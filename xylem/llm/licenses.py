@@ -93,10 +93,10 @@ ONE_LINE = {"copyright", "spdx"}
 #: Lines that one sentence may run over.
 MOST_LINES = 12
 
-_KNOWN = re.compile("|".join(f"(?P<s{k}>{re.sub(r'[?]P<[vk]>', '', p)})" for k, (_, p) in enumerate(SENTENCES)))
+_KNOWN = re.compile(r"(?:^|(?<= ))(?:" + "|".join(re.sub(r"[?]P<[vk]>", "", p) for _, p in SENTENCES) + ")$")
 _EACH = [re.compile(p) for _, p in SENTENCES]
 _CUE = re.compile(CUES)
-_CUTS = re.compile(r"(\n)|(?<=[.!?;:])[ \t]+")
+_CUTS = re.compile(r"(\n)|(?<=[.!?;])[ \t]+")
 
 
 def normalise(sentence: str) -> str:
@@ -105,11 +105,15 @@ def normalise(sentence: str) -> str:
 
 
 def identify(sentence: str) -> tuple[str, dict[str, str]] | None:
-    """Identifier of a normalised sentence and its values (version, kind)."""
-    if not _KNOWN.fullmatch(sentence):
+    """Identifier of a normalised sentence and its values (version, kind).
+
+    Words before a known sentence are let go: texts often put a notice behind running text.
+    """
+    known = _KNOWN.search(sentence)
+    if not known:
         return None
     for (name, _), pattern in zip(SENTENCES, _EACH, strict=True):
-        if found := pattern.fullmatch(sentence):
+        if found := pattern.fullmatch(known[0]):
             return name, {k: (v or "").strip() for k, v in found.groupdict().items()}
     return None
 
