@@ -7,6 +7,7 @@ root down, from parents that are already distinct, so a repeated subtree is open
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ class Staged:
     model: Model
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     links: dict[str, DataFrame] = field(default_factory=dict)
+    #: (table name, records) -> records, after hashing; keys must stay.
+    hook: Callable[[str, DataFrame], DataFrame] | None = None
 
     def records(self, table: Table) -> DataFrame:
         """Typed columns of a table; the key of an only child stands in its foreign key column."""
@@ -38,7 +41,8 @@ class Staged:
                     columns.append(value[HASH].alias(f.key()))
             else:
                 columns.append((join_values(value) if f.many else value.cast(f.spark_type)).alias(f.physical))
-        return rows.select(*columns)
+        records = rows.select(*columns)
+        return self.hook(table.name, records) if self.hook else records
 
     def counts(self) -> dict[str, int]:
         return {name: df.count() for name, df in self.nodes.items()}
