@@ -112,10 +112,11 @@ class Network:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] = (self.p[k] - step * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
 
-    def _run(self, x: np.ndarray, d: int, keep) -> None:
+    def _run(self, x: np.ndarray, d: int, keep, filled: np.ndarray | None = None) -> None:
         """The forward pass of prediction: halves are folded into the weights, buffers are reused.
 
-        keep(t, state) gets the state after the byte at step t.
+        keep(t, state) gets the state after the byte at step t. Where filled is false the state stays
+        zero, so what a short window gives doesn't depend on the windows beside it.
         """
         w, u, n = self.p[f"w{d}"].copy(), self.p[f"u{d}"].copy(), x.shape[1]
         w[:2] *= 0.5  # sigmoid(a) = (tanh(a / 2) + 1) / 2
@@ -140,6 +141,8 @@ class Network:
             np.multiply(h, z, out=h)
             np.multiply(h, 0.5, out=h)
             np.add(h, a, out=h)
+            if filled is not None:
+                np.multiply(h, filled[t][:, None], out=h)
             keep(t, h)
 
     def window_sums(self, x: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -161,7 +164,7 @@ class Network:
                 p *= filled[t][:, None]
             np.add(sums, p, out=sums)
 
-        self._run(x, 1, pool)
+        self._run(x, 1, pool, None if whole else filled)
         return sums
 
     def predict(self, texts: list[bytes]) -> np.ndarray:

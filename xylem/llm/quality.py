@@ -52,9 +52,8 @@ def _repeat_columns(df: DataFrame) -> DataFrame:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id by default) and the measurements as long columns."""
-    keep = ["doc_id"] if keep is None else keep
-    held = F.struct(*[docs[c] for c in keep]).alias("held")
+    """held: a struct of the columns `keep` of docs (doc_id by default); the measurements as long columns."""
+    held = F.struct(*[docs[c] for c in keep or ["doc_id"]]).alias("held")
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(held, whole_text(text).alias("t"))
     df = df.select("held", words(F.col("t")).alias("ws"), F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
@@ -67,7 +66,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    return _repeat_columns(df).select("held.*", *MEASUREMENTS)
+    return _repeat_columns(df).select("held", *MEASUREMENTS)
 
 
 def with_bits(measured: DataFrame) -> DataFrame:
@@ -108,14 +107,14 @@ def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """One row for each document: measurements, base_failed, kept, fail_bits, n_lines."""
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["v1"])) != 0
     return ledger(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "held.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "fail_bits", "n_lines",
     )
 
 
 def keep_passing(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents, unchanged, that pass the policy."""
-    return ledger(docs, keep=docs.columns).where(passes(policy)).select(*docs.columns)
+    return ledger(docs, keep=docs.columns).where(passes(policy)).select("held.*")
 
 
 ORACLE = r"""
