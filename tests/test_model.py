@@ -47,7 +47,7 @@ def test_schemas_and_names(folder):
     assert list(schemas) == ["feature", "item", "item_product_feature", "buyer", "order", "order_item", "shop", "shop_order"] or set(schemas) == {"feature", "item", "item_product_feature", "buyer", "order", "order_item", "shop", "shop_order"}
     assert schemas["order_item"].names == ["fk_order", "fk_item"]
     assert schemas["item"]["price"].dataType == T.DoubleType() and schemas["order"]["at"].dataType == T.TimestampType()
-    assert "ship_fk_buyer" in schemas["order"].names and schemas["shop"].names[-1] == "xml2db_record_hash"
+    assert "ship_fk_buyer" in schemas["order"].names and schemas["shop"].names[-1] == "record_hash"
     assert m.table("buyer").columns[4].ddl() == "VARCHAR(10)"
     assert short_name("x" * 63) == "x" * 63 and len(short_name("x" * 64)) == 63
     assert key_name("order_person", "person") == "fk_order_person" and key_name("ship", "person") == "ship_fk_person"

@@ -94,7 +94,7 @@ class Merge:
         parent, _ = t.parents[0]
         keys = self.keys[parent.name].where(NEW).select(F.col(KEY).alias(PARENT), F.col(PK).alias("parent_pk__"))
         new = self._with_children(t, numbered(self.staged.records(t).join(keys, PARENT), self._next(t)))
-        new = new.withColumn(t.primary_key, F.col(PK)).withColumn(t.parent_key(), F.col("parent_pk__")).withColumn("xml2db_row_number", F.col(ROW))
+        new = new.withColumn(t.primary_key, F.col(PK)).withColumn(t.parent_key(), F.col("parent_pk__")).withColumn(self.model.row_number_column, F.col(ROW))
         written = self._write(t.physical, new)
         self.keys[t.name] = written.select(KEY, F.col(f"`{t.primary_key}`").alias(PK), F.lit(True).alias(NEW))
 
@@ -104,7 +104,7 @@ class Merge:
                 name = t.link_table(r)
                 parents = self.keys[t.name].where(NEW).select(F.col(KEY).alias(PARENT), F.col(PK).alias(short_name(f"fk_{t.name}")))
                 children = self.keys[r.child.name].select(KEY, F.col(PK).alias(short_name(f"fk_{r.child.name}")))
-                rows = self.staged.links[name].join(parents, PARENT).join(children, KEY).withColumn("xml2db_row_number", F.col(ROW))
+                rows = self.staged.links[name].join(parents, PARENT).join(children, KEY).withColumn(self.model.row_number_column, F.col(ROW))
                 self._write(name, rows)
 
     def run(self) -> MergeStats:

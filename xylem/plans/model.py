@@ -7,6 +7,7 @@ from these paths and the XML writer walks them back.
 from __future__ import annotations
 
 import graphlib
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -143,6 +144,8 @@ class Model:
         self.root_type = Schema(xsd, base_url).root(short_name)
         self.types = self._all_types(self.root_type)
         self.source_tree = "\n".join(self._source_lines(self.root_type, 0, f"{self.root_type.table}:"))
+        if self.config.get("as_columnstore") or any(t.get("as_columnstore") for t in self.config["tables"].values()):
+            warnings.warn("as_columnstore has no effect: Parquet is columnar", stacklevel=2)
         names = {t.table for t in self.types}
         for name in self.config["tables"]:
             if name not in names:
@@ -280,12 +283,18 @@ class Model:
 
     @property
     def hash_column(self) -> str:
-        return self.config.get("record_hash_column_name") or "xml2db_record_hash"
+        return self.config.get("record_hash_column_name") or "record_hash"
 
     @property
     def row_numbers(self) -> bool:
         return bool(self.config.get("row_numbers"))
 
+    @property
+    def row_number_column(self) -> str:
+        """row_numbers may be a name instead of true."""
+        asked = self.config.get("row_numbers")
+        return asked if isinstance(asked, str) else "row_number"
+
     @property
     def metadata(self) -> list[tuple[str, T.DataType]]:
         return [(c["name"], column_type(c.get("type", "String"))) for c in self.config.get("metadata_columns") or ()]
@@ -314,7 +323,7 @@ class Model:
             if not t.reused:
                 fields.append(T.StructField(t.parent_key(), whole))
                 if self.row_numbers:
-                    fields.append(T.StructField("xml2db_row_number", T.IntegerType()))
+                    fields.append(T.StructField(self.row_number_column, T.IntegerType()))
             for f in t.fields:
                 if isinstance(f, TargetColumn):
                     fields.append(T.StructField(f.physical, f.spark_type, True, {"occurs": [f.occurs[0], f.occurs[1] or -1]}))
@@ -328,7 +337,7 @@ class Model:
             for r in t.relations_n:
                 if r.child.reused:
                     link = [T.StructField(short_name(f"fk_{t.name}"), whole), T.StructField(short_name(f"fk_{r.child.name}"), whole)]
-                    out[t.link_table(r)] = T.StructType([*link, *([T.StructField("xml2db_row_number", T.IntegerType())] if self.row_numbers else [])])
+                    out[t.link_table(r)] = T.StructType([*link, *([T.StructField(self.row_number_column, T.IntegerType())] if self.row_numbers else [])])
         return out
 
     # texts

@@ -229,7 +229,7 @@ def merge_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, model, _ = _loaded(spark, sf_dir, "rows")
     tables = {n: store.read(n, s) for n, s in model.schemas().items()}
     rows = tables["order_item"].join(tables["order"], F.col("fk_order") == F.col("pk_order")).join(tables["item"], F.col("fk_item") == F.col("pk_item"))
-    return rows.select(F.col("key").alias("order_key"), F.col("xml2db_row_number").alias("row_number"), *ITEM)
+    return rows.select(F.col("key").alias("order_key"), F.col("row_number"), *ITEM)
 
 
 def merge_child_of_new_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
