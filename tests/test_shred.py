@@ -109,6 +109,21 @@ def test_validation_matrix(spark, folder, tmp_path, kind, validate, recover):
             doc.docs.collect()
 
 
+def test_rows_by_tag_and_time_zones(spark, folder, tmp_path):
+    from xylem.operators.shape import shaped
+    from xylem.sources import reader
+
+    model = data_model(spark, folder, tmp_path, {"row_numbers": "place"})
+    rows = shaped(model.plan, reader.read_rows(spark, model.plan, str(folder / "in" / "*.xml"), xsd=str(folder / "shop.xsd")))
+    whole = model.parse_xml(str(folder / "in" / "*.xml"))
+    assert sorted(r[0] for r in rows.select("doc.h__").collect()) == sorted(r[0] for r in whole.docs.select("doc.h__").collect())
+    whole.insert_into_target_tables()
+    assert "place" in model.store.read("shop_order", model.plan.schemas()["shop_order"]).columns
+    assert 'at="2024-03-01T11:00:00.000+01:00"' in model.extract_from_database(force_tz="Europe/Paris").to_xml().first().xml
+    model.extract_from_database("batch = 'a'").to_xml(str(tmp_path / "a.xml"))
+    assert (tmp_path / "a.xml").read_text().startswith("<?xml")
+
+
 def test_repair():
     assert repair("<a><b>x & y</a>") == "<a><b>x &amp; y</b></a>"
     assert repair("<a b='1'>1 < 2</c></a>junk<d/>") == "<a b='1'>1 &lt; 2</a>"

@@ -59,10 +59,12 @@ class Merge:
         self.staged, self.model, self.store = staged, staged.model, store
         self.schemas = staged.model.schemas()
         self.keys: dict[str, DataFrame] = {}
-        self.load = store.begin()
+        self.load, self.first = store.begin(), not store.loads()
         self.stats = MergeStats()
 
     def _next(self, t: Table) -> int:
+        if self.first:
+            return 1
         top = self.store.read(t.physical, self.schemas[t.physical]).agg(F.max(t.primary_key)).first()[0]
         return (top or 0) + 1
 
@@ -81,15 +83,23 @@ class Merge:
         return done
 
     def _shared(self, t: Table) -> None:
+        if self.first:
+            self.keys[t.name] = self._add_shared(t, self.staged.records(t))
+            self.stats.existing[t.physical] = 0
+            return
         old = self.store.read(t.physical, self.schemas[t.physical]).select(F.lower(F.hex(f"`{self.model.hash_column}`")).alias(KEY), F.col(f"`{t.primary_key}`").alias(PK))
         records = self.staged.records(t)
-        new = self._with_children(t, numbered(records.join(old, KEY, "left_anti"), self._next(t)))
-        new = new.withColumn(t.primary_key, F.col(PK)).withColumn(self.model.hash_column, F.unhex(KEY))
-        written = self._write(t.physical, new).select(KEY, F.col(f"`{t.primary_key}`").alias(PK), F.lit(True).alias(NEW))
+        written = self._add_shared(t, records.join(old, KEY, "left_anti"))
         known = old.join(records.select(KEY), KEY, "left_semi").withColumn(NEW, F.lit(False))
         self.stats.existing[t.physical] = known.count()
         self.keys[t.name] = written.unionByName(known)
 
+    def _add_shared(self, t: Table, records: DataFrame) -> DataFrame:
+        """Number and write records; KEY, PK and NEW."""
+        new = self._with_children(t, numbered(records, self._next(t)))
+        new = new.withColumn(t.primary_key, F.col(PK)).withColumn(self.model.hash_column, F.unhex(KEY))
+        return self._write(t.physical, new).select(KEY, F.col(f"`{t.primary_key}`").alias(PK), F.lit(True).alias(NEW))
+
     def _owned(self, t: Table) -> None:
         parent, _ = t.parents[0]
         keys = self.keys[parent.name].where(NEW).select(F.col(KEY).alias(PARENT), F.col(PK).alias("parent_pk__"))
