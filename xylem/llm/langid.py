@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from xylem.llm.common import OWN, held_out, slices
 
 PER_LANG, WINDOW_CHARS, EPOCHS, HIDDEN, SEED = 400, 192, 10, 8, 7
+#: A small sample is gone through more often, until there were so many steps.
+LEAST_STEPS = 250
 WINDOW, BLOCK, BATCH = 128, 4096, 64
 UNKNOWN = "und"
 
@@ -97,7 +99,7 @@ class Network:
         """Adam over shuffled batches; languages weigh alike."""
         rng, per = np.random.default_rng(seed), 1 / np.maximum(np.bincount(labels, minlength=len(self.langs)), 1)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in (0, 1))
-        t = 0
+        t, epochs = 0, max(epochs, -(-LEAST_STEPS // -(-len(windows) // BATCH)))
         for epoch in range(epochs):
             order = rng.permutation(len(windows))
             for a in range(0, len(order), BATCH):
@@ -106,7 +108,7 @@ class Network:
                 weight = filled.astype(np.float32) * per[labels[some]].astype(np.float32)
                 _, grads = self.gradients(x, labels[some], weight)
                 t += 1
-                step = rate * (0.5 ** (epoch / 4)) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+                step = rate * 0.5 ** (2.5 * epoch / epochs) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
                 for k, g in grads.items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
