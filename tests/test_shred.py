@@ -124,6 +124,12 @@ def test_rows_by_tag_and_time_zones(spark, folder, tmp_path):
     assert (tmp_path / "a.xml").read_text().startswith("<?xml")
 
 
+def test_parsed_documents_as_xml(spark, folder, tmp_path):
+    doc = data_model(spark, folder, tmp_path).parse_xml(DOCUMENTS[1].encode())
+    assert "h__" not in doc.flat_data_to_doc_tree().schema.simpleString()
+    assert canonical(doc.to_xml(indent=None).first().xml) == canonical(DOCUMENTS[1].replace("+00:00", "Z").replace("3.0", "3"))
+
+
 def test_repair():
     assert repair("<a><b>x & y</a>") == "<a><b>x &amp; y</b></a>"
     assert repair("<a b='1'>1 < 2</c></a>junk<d/>") == "<a b='1'>1 &lt; 2</a>"

@@ -97,3 +97,19 @@ def shaped(model: Model, docs: DataFrame, source: str = "src", out: str = "doc")
     """Replace the source struct by the target struct."""
     rest = [c for c in docs.columns if c != source]
     return docs.select(*rest, node(model.root, F.col(source), digest_name(model)).alias(out))
+
+
+def _stripping(table: Table):
+    return lambda x: without_hashes(table, x)
+
+
+def without_hashes(table: Table, value: Column) -> Column:
+    """A target struct without the hashes of itself and what is below it, for comparisons."""
+    fields = []
+    for f in table.fields:
+        own = value[f.name]
+        if isinstance(f, Relation):
+            child = f.child
+            own = F.transform(own, _stripping(child)) if f.many else without_hashes(child, own)
+        fields.append(own.alias(f.name))
+    return F.when(value.isNotNull(), F.struct(*(fields or [F.lit(None).cast("string").alias("empty__")])))
