@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from xylem.llm.common import held_out, mounted_dir, slices, word_lists
 
-MIN_COUNT, DISCOUNT, QUANTA, SLICE = 2, 0.5, 4096, 24 << 20
+MIN_COUNT, DISCOUNT, QUANTA, SLICE = 2, 0.5, 4096, 8 << 20
 HASH_BITS = 63
 #: No word holds a blank, so this is nobody's.
 END = xxhash.xxh64_intdigest(b" ", 0) >> 1
