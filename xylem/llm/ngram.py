@@ -102,6 +102,13 @@ class EliasFano:
         rest = rest - np.where(o > 0, sums[row, o - 1], 0)
         return block * 512 + k * 64 + o * 8 + SELECT8[octets[row, o], rest]
 
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """Ones in a row from a place of the high bits on, 64 at most."""
+        high = self.high.ravel()
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        bits = ~((high[word] >> off) | ((high[np.minimum(word + 1, len(high) - 1)] << (np.uint64(63) - off)) << np.uint64(1)))
+        return np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
             return np.zeros(len(i), np.int64)
@@ -116,8 +123,11 @@ class EliasFano:
     def find(self, start: np.ndarray, stop: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Place in [start, stop) of the value, or -1: successor search for the first that isn't less."""
         h = value >> self.l
-        a = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) - (h - 1), 0)
-        b = self._select(h, True) - h
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) + 1, 0)  # of the first with these high bits
+        a, b = at - h, at - h + self._ones_from(at)
+        long = np.flatnonzero(b - a == 64)
+        if len(long):
+            b[long] = self._select(h[long], True) - h[long]
         a, b = np.clip(a, start, stop), np.clip(b, start, stop)
         end, want = b.copy(), value & ((1 << self.l) - 1)
         while len(open_ := np.flatnonzero(a < b)):
@@ -178,19 +188,21 @@ class Level:
         write_arrays(path, parts | {"prob": quantise(prob), "back": quantise(back)})
 
     def find(self, node: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each (node, child) or -1, and the node's first place."""
-        start, stop = self.pointers.get(node), self.pointers.get(node + 1)
+        """Place of each (node, child) or -1, and the node's first place; a run of one node is looked up once."""
+        new = np.concatenate([[True], node[1:] != node[:-1]]) if len(node) else np.empty(0, bool)
+        run, nodes = np.cumsum(new) - 1, node[new]
+        starts, stops = self.pointers.get(nodes), self.pointers.get(nodes + 1)
         found = np.full(len(node), -1, np.int64)
         if self.ids.n:
-            some = np.flatnonzero(stop > start)
-            shift = np.zeros(len(some), np.int64)
-            later = np.flatnonzero(start[some] > 0)
-            shift[later] = self.ids.get(start[some][later] - 1)
-            value = shift + child[some] + 1
+            shifts = np.zeros(len(nodes), np.int64)
+            later = np.flatnonzero((stops > starts) & (starts > 0))
+            shifts[later] = self.ids.get(starts[later] - 1)
+            some = np.flatnonzero((stops > starts)[run])
+            value = shifts[run[some]] + child[some] + 1
             within = value <= self.last
             some, value = some[within], value[within]
-            found[some] = self.ids.find(start[some], stop[some], value)
-        return found, start
+            found[some] = self.ids.find(starts[run[some]], stops[run[some]], value)
+        return found, starts[run]
 
     @property
     def last(self) -> int:
