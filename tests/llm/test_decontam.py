@@ -67,6 +67,14 @@ def test_verdicts(spark, bench):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 8]
 
 
+def test_every_diagonal_is_judged(spark, bench):
+    drill, partial = f"Text first. {MIXED} Then more words. ", QUESTION.split(", how long")[0]
+    docs = spark.createDataFrame([(1, drill + QUESTION), (2, drill + OTHER), (3, drill + MIXED), (4, OTHER + " " + QUESTION), (5, f"Text first. {partial}, one asks what Susan at 99 km thinks.")], "doc_id long, text string")
+    assert found(docs, bench) == {(1, 1): "exact", (2, 1): "reparameterised", (4, 1): "exact", (5, 1): "exact"}
+    assert decontam.contaminated(docs, bench).count() == 4
+    assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [3]
+
+
 def test_tokens_are_aligned(spark):
     df = spark.createDataFrame([(QUESTION,), (OTHER,), ("a 1.5km B2 x 3,000.25 kg, Anna-Lena; 12:30 h",)], "text string")
     for r in df.select(decontam.template_tokens(F.col("text")).alias("t"), decontam.value_tokens(F.col("text")).alias("v")).collect():

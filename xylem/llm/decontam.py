@@ -91,39 +91,39 @@ def _checked_broadcast(df: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, diag, windows, literal_windows, n_windows: the best diagonal of each text and item that shows a leak."""
+    """tk, item_id, diag, at (item places of the windows), windows, literal_windows, n_windows, need: every diagonal of a text and an item with enough windows."""
     windows = _checked_broadcast(item_windows(benchmark))
     texts = docs.select(text_key().alias("tk"), template_tokens(whole_text()).alias("tokens"))
     places = with_windows(texts, "tokens", "hs").select("tk", F.posexplode_outer("hs").alias("pos", "h"))
     met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "literal", "n_windows").distinct()
     runs = met.groupBy("tk", "item_id", "diag").agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if("literal").alias("literal_windows"), F.max("n_windows").alias("n_windows")
+        F.collect_list("ipos").alias("at"), F.count(F.lit(1)).alias("windows"), F.count_if("literal").alias("literal_windows"), F.max("n_windows").alias("n_windows")
     )
-    best = runs.groupBy("tk", "item_id").agg(F.max(F.struct("windows", "literal_windows", (-F.col("diag")).alias("minus"), "n_windows")).alias("b"))
-    need = F.least(F.lit(MIN_RUN), F.ceil(F.col("b.n_windows") / 2))
-    found = best.select("tk", "item_id", (-F.col("b.minus")).alias("diag"), "b.windows", "b.literal_windows", "b.n_windows", need.alias("need"))
-    return found.where(F.col("windows") >= F.col("need"))
+    return runs.withColumn("need", F.least(F.lit(MIN_RUN), F.ceil(F.col("n_windows") / 2))).where(F.col("windows") >= F.col("need"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, windows, n_windows, n_slots, verdict for each text and item that is a leak."""
+    """tk, item_id, windows, n_windows, n_slots, verdict for each text and item that is a leak: the best verdict of all diagonals."""
     found = materialise(candidates(docs, benchmark), "candidates")
     items = benchmark.select("item_id", template_tokens(whole_text()).alias("it"), value_tokens(whole_text()).alias("iv"))
     items = items.where(F.exists("it", lambda x: x.isin(NUM, UNIT, NAME))).distinct()
     slotted = found.join(items, "item_id")
     wanted = _checked_broadcast(slotted.select("tk").distinct())
     texts = docs.withColumn("tk", text_key()).join(wanted, "tk", "left_semi").select("tk", template_tokens(whole_text()).alias("dt"), value_tokens(whole_text()).alias("dv")).dropDuplicates(["tk"])
-    places = F.filter(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.get("it", i).isin(NUM, UNIT, NAME) & (F.get("it", i) == F.get("dt", i + F.col("diag").cast("int"))))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (WIDTH - 1))))))
+    places = F.filter(covered, lambda i: F.get("it", i).isin(NUM, UNIT, NAME) & (F.get("it", i) == F.get("dt", i + F.col("diag").cast("int"))))
     slots = slotted.join(texts, "tk").withColumn(
         "slots", F.transform(places, lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("i"), F.get("dv", i + F.col("diag").cast("int")).alias("d")))
     )
     pairs, of_item, of_doc = (F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: s, lambda s: F.struct(s["kind"], s["i"]), lambda s: F.struct(s["kind"], s["d"])))
     checked = slots.select(
-        "tk", "item_id", F.size("slots").alias("slots"), F.forall("slots", lambda s: s["i"] == s["d"]).alias("equal"), ((pairs == of_item) & (pairs == of_doc)).alias("consistent")
+        "tk", "item_id", "diag", F.size("slots").alias("slots"), F.forall("slots", lambda s: s["i"] == s["d"]).alias("equal"), ((pairs == of_item) & (pairs == of_doc)).alias("consistent")
     ).distinct()
-    joined = found.join(checked, ["tk", "item_id"], "left")
+    joined = found.join(checked, ["tk", "item_id", "diag"], "left")
     verdict = F.when(F.coalesce("equal", F.lit(True)), "exact").when(F.col("consistent"), "reparameterised").when(F.col("literal_windows") >= F.col("need"), "exact")
-    return joined.select("tk", "item_id", "windows", "n_windows", F.coalesce("slots", F.lit(0)).alias("n_slots"), verdict.alias("verdict")).where(F.col("verdict").isNotNull())
+    judged = joined.select("tk", "item_id", "windows", "n_windows", F.coalesce("slots", F.lit(0)).alias("n_slots"), verdict.alias("verdict")).where(F.col("verdict").isNotNull())
+    best = judged.groupBy("tk", "item_id").agg(F.max(F.struct(F.col("verdict") == "exact", "windows", "n_slots", "n_windows", "verdict")).alias("b"))
+    return best.select("tk", "item_id", "b.windows", "b.n_windows", "b.n_slots", "b.verdict")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
