@@ -75,6 +75,21 @@ def test_every_diagonal_is_judged(spark, bench):
     assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [3]
 
 
+SUM = "what is 12 + 7 + 31 - 5 + 88 - 14 + 9 + 3 in total when all of them count"
+OTHER_SUM = "what is 41 + 6 + 52 - 8 + 19 - 27 + 2 + 5 in total when all of them count"
+NUMBERS = "3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79"
+SHORT = "capital city of Burkina Faso"
+
+
+def test_dense_and_short_items(spark):
+    items = spark.createDataFrame([(1, SUM), (2, NUMBERS), (3, SHORT), (4, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, f"We ask {SUM} and more."), (2, f"We ask {OTHER_SUM} and more."), (3, f"Digits are {NUMBERS} and so on"), (4, f"Name the {SHORT.upper()}, please"), (5, SHORT),
+        (6, "Digits are 2 71 82 81 82 84 59 4 52 35 36 2 87 47 13 52 and so on"), (7, "capital city of Chad"), (8, "two words"), (9, "add it in total when all of them count"),
+    ], "doc_id long, text string")
+    assert found(docs, items) == {(1, 1): "exact", (2, 1): "reparameterised", (3, 2): "exact", (4, 3): "exact", (5, 3): "exact"}
+
+
 def test_tokens_are_aligned(spark):
     df = spark.createDataFrame([(QUESTION,), (OTHER,), ("a 1.5km B2 x 3,000.25 kg, Anna-Lena; 12:30 h",)], "text string")
     for r in df.select(decontam.template_tokens(F.col("text")).alias("t"), decontam.value_tokens(F.col("text")).alias("v")).collect():

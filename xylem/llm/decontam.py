@@ -13,7 +13,11 @@ Texts are identified by a 64-bit hash while they are compared, so copies share o
 row needs a unique id. The benchmark's windows are broadcast if they are at most BROADCAST_ROWS; the
 join shuffles both sides beyond that. Only DataFrame functions are used.
 
-Defined cases: null and empty texts, and items of fewer than WIDTH template tokens, match nothing; a
+Word-for-word copies are also found by windows of literal tokens (lower-case words and numbers), of
+which any counts, and items of SHORT to WIDTH - 1 of them by one window of their length. An item with
+windows of fewer than MIN_WORDS words is met by the others; then all its windows are compared.
+
+Defined cases: null and empty texts, and items of fewer than SHORT literal tokens, match nothing; a
 benchmark item that is repeated counts once for each item_id; repeated documents get a row each;
 private-use characters U+E000 to U+E003 in a text act as placeholders.
 """
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from xylem.llm.common import OWN, materialise, whole_text
 
 WIDTH, MIN_RUN, MIN_WORDS = 8, 6, 4
+#: Least number of tokens of an item that a word-for-word copy can show; two or three words stand anywhere.
+SHORT = 4
 #: Rows of 8-byte keys (with item and place, about 32 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 NUM, UNIT, NAME, JOINT = "", "", "", ""
@@ -57,6 +63,13 @@ def value_tokens(text: Column) -> Column:
     return _split(F.lower(t), _OUTSIDE_VALUES)
 
 
+def literal_tokens(text: Column) -> Column:
+    """Lower-case words and numbers; capitals and white space make no difference."""
+    t = F.regexp_replace(text, F.lit(r"(?<=\p{Nd})[.,:/](?=\p{Nd})"), F.lit(JOINT))
+    t = F.regexp_replace(t, F.lit(rf"\p{{Nd}}[\p{{Nd}}{JOINT}]*"), F.lit(" $0 "))
+    return _split(F.lower(t), _OUTSIDE_VALUES)
+
+
 def with_windows(df: DataFrame, tokens: str, out: str) -> DataFrame:
     """Add 64-bit hashes of the windows of WIDTH tokens, by doubling."""
     df, width = df.withColumn(out, F.transform(tokens, lambda w: F.xxhash64(w))), 1
@@ -76,12 +89,13 @@ def _literal(tokens: Column, place: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, ipos, h, literal (no placeholder), n_windows for windows of MIN_WORDS words or more."""
+    """item_id, ipos, h, literal (no placeholder), n_windows, n_wordy for the n_wordy windows of MIN_WORDS words or more."""
     items = benchmark.select("item_id", template_tokens(whole_text()).alias("tokens"))
     items = with_windows(items, "tokens", "h").withColumn("n_windows", F.size("h"))
     rows = items.select("item_id", "tokens", "n_windows", F.posexplode_outer("h").alias("ipos", "h"))
     rows = rows.withColumn("n_words", _literal(F.col("tokens"), F.col("ipos"))).where(F.col("n_words") >= MIN_WORDS)
-    return rows.select("item_id", "ipos", "h", (F.col("n_words") == WIDTH).alias("literal"), "n_windows").distinct()
+    rows = rows.select("item_id", "ipos", "h", (F.col("n_words") == WIDTH).alias("literal"), "n_windows").distinct()
+    return rows.join(rows.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_wordy")), "item_id")
 
 
 def _checked_broadcast(df: DataFrame) -> DataFrame:
@@ -90,16 +104,42 @@ def _checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _need(windows: str) -> Column:
+    return F.least(F.lit(MIN_RUN), F.ceil(F.col(windows) / 2))
+
+
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, diag, at (item places of the windows), windows, literal_windows, n_windows, need: every diagonal of a text and an item with enough windows."""
+    """tk, item_id, diag, at (item places of the windows), windows, literal_windows, n_windows, n_wordy, need: every diagonal of a text and an item with enough wordy windows.
+
+    `need` is for all windows of the item; leaks() holds it against them once it has the tokens.
+    """
     windows = _checked_broadcast(item_windows(benchmark))
     texts = docs.select(text_key().alias("tk"), template_tokens(whole_text()).alias("tokens"))
     places = with_windows(texts, "tokens", "hs").select("tk", F.posexplode_outer("hs").alias("pos", "h"))
-    met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "literal", "n_windows").distinct()
+    met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "literal", "n_windows", "n_wordy").distinct()
     runs = met.groupBy("tk", "item_id", "diag").agg(
-        F.collect_list("ipos").alias("at"), F.count(F.lit(1)).alias("windows"), F.count_if("literal").alias("literal_windows"), F.max("n_windows").alias("n_windows")
+        F.collect_list("ipos").alias("at"), F.count(F.lit(1)).alias("windows"), F.count_if("literal").alias("literal_windows"), F.max("n_windows").alias("n_windows"), F.max("n_wordy").alias("n_wordy")
     )
-    return runs.withColumn("need", F.least(F.lit(MIN_RUN), F.ceil(F.col("n_windows") / 2))).where(F.col("windows") >= F.col("need"))
+    return runs.withColumn("need", _need("n_windows")).where(F.col("windows") >= _need("n_wordy"))
+
+
+def literal_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """tk, item_id, windows, n_windows: word-for-word copies, by windows of literal tokens; items of SHORT to WIDTH - 1 tokens as one window."""
+    items = benchmark.select("item_id", literal_tokens(whole_text()).alias("tokens")).distinct()
+    short = materialise(items.where(F.size("tokens").between(SHORT, WIDTH - 1)), "short")
+    widths = sorted(r[0] for r in short.select(F.size("tokens")).distinct().collect())
+    long = with_windows(items, "tokens", "h").select("item_id", F.size("h").alias("n_windows"), F.posexplode_outer("h").alias("ipos", "h")).where("h IS NOT NULL")
+    whole = short.select("item_id", F.lit(1).alias("n_windows"), F.lit(0).alias("ipos"), F.xxhash64(F.size("tokens"), "tokens").alias("h"))
+    windows = _checked_broadcast(long.unionByName(whole).distinct())
+    texts = with_windows(docs.select(text_key().alias("tk"), literal_tokens(whole_text()).alias("tokens")), "tokens", "hs")
+    places = texts.select("tk", F.posexplode_outer("hs").alias("pos", "h"))
+    for w in widths:
+        starts = F.when(F.size("tokens") >= w, F.sequence(F.lit(0), F.size("tokens") - w)).otherwise(F.array().cast("array<int>"))
+        keys = F.transform(starts, lambda i: F.xxhash64(F.lit(w), F.slice("tokens", i + 1, F.lit(w))))  # noqa: B023
+        places = places.unionByName(texts.select("tk", F.posexplode_outer(keys).alias("pos", "h")))
+    met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "n_windows").distinct()
+    runs = met.groupBy("tk", "item_id", "diag", "n_windows").agg(F.count(F.lit(1)).alias("windows")).where(F.col("windows") >= _need("n_windows"))
+    return runs.groupBy("tk", "item_id").agg(F.max(F.struct("windows", "n_windows")).alias("b")).select("tk", "item_id", "b.windows", "b.n_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,22 +147,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = materialise(candidates(docs, benchmark), "candidates")
     items = benchmark.select("item_id", template_tokens(whole_text()).alias("it"), value_tokens(whole_text()).alias("iv"))
     items = items.where(F.exists("it", lambda x: x.isin(NUM, UNIT, NAME))).distinct()
-    slotted = found.join(items, "item_id")
+    slotted = found.drop("windows").join(items, "item_id")
     wanted = _checked_broadcast(slotted.select("tk").distinct())
     texts = docs.withColumn("tk", text_key()).join(wanted, "tk", "left_semi").select("tk", template_tokens(whole_text()).alias("dt"), value_tokens(whole_text()).alias("dv")).dropDuplicates(["tk"])
+    shift = F.col("diag").cast("int")
+    same = lambda i: F.when(i + shift >= 0, F.slice("it", i + 1, F.lit(WIDTH)) == F.slice("dt", F.greatest(i + shift + 1, F.lit(1)), F.lit(WIDTH)))
+    dense = F.filter(F.sequence(F.lit(0), F.col("n_windows") - 1), lambda i: F.coalesce(same(i), F.lit(False)))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (WIDTH - 1))))))
     places = F.filter(covered, lambda i: F.get("it", i).isin(NUM, UNIT, NAME) & (F.get("it", i) == F.get("dt", i + F.col("diag").cast("int"))))
-    slots = slotted.join(texts, "tk").withColumn(
+    slots = slotted.join(texts, "tk").withColumn("at", F.when(F.col("n_wordy") < F.col("n_windows"), dense).otherwise(F.col("at"))).withColumn(
         "slots", F.transform(places, lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("i"), F.get("dv", i + F.col("diag").cast("int")).alias("d")))
     )
     pairs, of_item, of_doc = (F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: s, lambda s: F.struct(s["kind"], s["i"]), lambda s: F.struct(s["kind"], s["d"])))
     checked = slots.select(
-        "tk", "item_id", "diag", F.size("slots").alias("slots"), F.forall("slots", lambda s: s["i"] == s["d"]).alias("equal"), ((pairs == of_item) & (pairs == of_doc)).alias("consistent")
+        "tk", "item_id", "diag", F.size("at").cast("long").alias("all_windows"), F.size("slots").alias("slots"), F.forall("slots", lambda s: s["i"] == s["d"]).alias("equal"), ((pairs == of_item) & (pairs == of_doc)).alias("consistent")
     ).distinct()
-    joined = found.join(checked, ["tk", "item_id", "diag"], "left")
+    joined = found.join(checked, ["tk", "item_id", "diag"], "left").withColumn("windows", F.coalesce("all_windows", "windows")).where(F.col("windows") >= F.col("need"))
     verdict = F.when(F.coalesce("equal", F.lit(True)), "exact").when(F.col("consistent"), "reparameterised").when(F.col("literal_windows") >= F.col("need"), "exact")
     judged = joined.select("tk", "item_id", "windows", "n_windows", F.coalesce("slots", F.lit(0)).alias("n_slots"), verdict.alias("verdict")).where(F.col("verdict").isNotNull())
-    best = judged.groupBy("tk", "item_id").agg(F.max(F.struct(F.col("verdict") == "exact", "windows", "n_slots", "n_windows", "verdict")).alias("b"))
+    literal = literal_leaks(docs, benchmark).select("tk", "item_id", "windows", "n_windows", F.lit(0).alias("n_slots"), F.lit("exact").alias("verdict"))
+    rank = F.when(F.col("verdict") == "exact", 4).otherwise(2)
+    literal_rank = F.when(F.col("windows") == F.col("n_windows"), 3).otherwise(1)
+    both = judged.withColumn("rank", rank).unionByName(literal.withColumn("rank", literal_rank))
+    best = both.groupBy("tk", "item_id").agg(F.max(F.struct("rank", "windows", "n_slots", "n_windows", "verdict")).alias("b"))
     return best.select("tk", "item_id", "b.windows", "b.n_windows", "b.n_slots", "b.verdict")
 
 
