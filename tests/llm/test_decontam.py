@@ -1,4 +1,4 @@
-import re
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,33 +12,69 @@ MIXED = "If a train leaves the old station at 7 km distance and then Maria walks
 PLAIN = "the river ran past a mill where nobody had worked since the war and the wheel still turned each spring when the snow came down"
 
 
-def template(text):
-    """Placeholders and words, by Python's own regular expressions."""
-    text = text or ""
-    name = r"[A-ZÄÖÜÉÈÀÇÑ](?<=[a-zäöüßéèàçñíóú,;] [A-ZÄÖÜÉÈÀÇÑ])[a-zäöüßéèêàçñíóúâîôû]+"
-    t = re.sub(name, f" {decontam.NAME} ", text)
-    t = re.sub(r"\d+(?:[.,:/]\d+)*", f" {decontam.NUM} ", t)
-    t = re.sub(rf"{decontam.NUM} +(?:{decontam.UNITS})(?![^\W\d_])", f"{decontam.NUM} {decontam.UNIT} ", t, flags=re.I)
-    return [x for x in re.split(rf"[^a-zäöüßéèêëàçñíìóòúùâîïôûœ{decontam.NUM}-{decontam.JOINT}]+", t.lower()) if x]
+def tokens(text):
+    """(kind or None, lower-case token) of each word and number, one character at a time."""
+    out, word = [], ""
+    for k, c in enumerate((text or "") + " "):
+        inside = c in ".,:/" and word[-1:].isdecimal() and text[k + 1 : k + 2].isdecimal()
+        if word and not inside and not (c.isalpha() and word[0].isalpha()) and not (c.isdecimal() and word[0].isdecimal()):
+            kind = "n" if word[0].isdecimal() else "u" if word.lower() in decontam.UNITS and out and out[-1][0] == "n" else "N" if word[0].isupper() else None
+            out.append((kind, word.lower()))
+            word = ""
+        word += c if inside or c.isalpha() or c.isdecimal() else ""
+    return out
+
+
+def runs(doc, item, width, indexed):
+    """Lists of (diagonal, place in the item) of near diagonals, and of each diagonal alone."""
+    met = sorted((b - a, a) for a in range(len(item) - width + 1) if indexed(item[a : a + width]) for b in range(len(doc) - width + 1) if doc[b : b + width] == item[a : a + width])
+    chains = []
+    for d, a in met:
+        if not chains or d - chains[-1][-1][0] > decontam.NEAR:
+            chains.append([])
+        chains[-1].append((d, a))
+    return chains + [[x for x in met if x[0] == d] for d in {d for d, _ in met}]
+
+
+def one_to_one(slots):
+    return len(set(slots)) == len({(k, i) for k, i, _ in slots}) == len({(k, d) for k, _, d in slots})
+
+
+def verdict(text, item_text):
+    """What a text and an item are by the definition, without keys or joins."""
+    doc, item = tokens(text), tokens(item_text)
+    dl, il = [w for _, w in doc], [w for _, w in item]
+    dt, it = ([k or w for k, w in x] for x in (doc, item))
+    if not il:
+        return None
+    if len(il) < 4 and dl == il:
+        return "exact"
+    if 4 <= len(il) < 8 and any(dl[b : b + len(il)] == il for b in range(len(dl))):
+        return "exact"
+    if any(len({a for _, a in r}) >= min(6, -(-(len(il) - 7) // 2)) for r in runs(dl, il, 8, lambda w: True)):
+        return "exact"
+    plain = lambda w: [x for x in w if x not in ("n", "u", "N")]
+    found = []
+    if len(it) < 8 and dt == it and plain(it) and plain(it) != it:
+        found = [(True, list(zip(it, il, dl, strict=True)))]
+    of = sum(bool(plain(it[a : a + 8])) for a in range(len(it) - 7))
+    for r in runs(dt, it, 8, plain):
+        places, windows = {(d, a + k) for d, a in r for k in range(8)}, len({a for _, a in r})
+        if windows >= min(6, -(-of // 2)):
+            enough = windows == of or len(plain([it[i] for i in {i for _, i in places}])) >= 4
+            found.append((enough, [(it[i], il[i], dl[i + d]) for d, i in places if it[i] in ("n", "u", "N")]))
+    if any(all(i == d for _, i, d in slots) for _, slots in found):
+        return "exact"
+    return "reparameterised" if any(enough and one_to_one(slots) for enough, slots in found) else None
 
 
 def brute(docs, items):
-    """(doc id, item id) of literal leaks: enough windows on one diagonal."""
-    out = set()
+    """(doc id, item id) of all leaks; texts that share no three words in a row with an item are passed over."""
+    threes = lambda t: {tuple(k or w for k, w in t[a : a + 3]) for a in range(len(t) - 2)}
+    out, cut = set(), [(i, t, threes(tokens((t or "").lower())) | threes(tokens(t)), len(tokens(t))) for i, t in items]
     for d, text in docs:
-        dt = template(text)
-        for i, item in items:
-            it = template(item)
-            windows = len(it) - 7
-            diagonals = {}
-            for a in range(max(windows, 0)):
-                w = it[a : a + 8]
-                if sum(x not in (decontam.NUM, decontam.UNIT, decontam.NAME) for x in w) >= 4:
-                    for b in range(len(dt) - 7):
-                        if dt[b : b + 8] == w:
-                            diagonals[b - a] = diagonals.get(b - a, 0) + 1
-            if windows > 0 and max(diagonals.values(), default=0) >= min(6, -(-windows // 2)):
-                out.add((d, i))
+        own = threes(tokens((text or "").lower())) | threes(tokens(text))
+        out |= {(d, i) for i, t, parts, n in cut if (n < 3 or parts & own) and verdict(text, t)}
     return out
 
 
@@ -59,12 +95,13 @@ def test_verdicts(spark, bench):
     got = found(docs, bench)
     assert got[1, 1] == "exact" and got[2, 1] == "reparameterised"
     assert got[5, 2] == "exact" and got[6, 2] == "exact" and got[9, 1] == got[9, 2] == "exact" and got[None, 2] == "exact"
-    assert not {4, 7, 8} & {d for d, _ in got}
+    assert got[7, 3] == "exact"  # as a whole
+    assert not {4, 8} & {d for d, _ in got}
     # the inconsistent document counts only by windows without placeholders, of which there are too few
     assert (3, 1) not in got
     assert decontam.contaminated(docs, bench).where("doc_id = 9").count() == 4
     kept = decontam.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 8]
 
 
 def test_every_diagonal_is_judged(spark, bench):
@@ -87,14 +124,46 @@ def test_dense_and_short_items(spark):
         (1, f"We ask {SUM} and more."), (2, f"We ask {OTHER_SUM} and more."), (3, f"Digits are {NUMBERS} and so on"), (4, f"Name the {SHORT.upper()}, please"), (5, SHORT),
         (6, "Digits are 2 71 82 81 82 84 59 4 52 35 36 2 87 47 13 52 and so on"), (7, "capital city of Chad"), (8, "two words"), (9, "add it in total when all of them count"),
     ], "doc_id long, text string")
-    assert found(docs, items) == {(1, 1): "exact", (2, 1): "reparameterised", (3, 2): "exact", (4, 3): "exact", (5, 3): "exact"}
+    assert found(docs, items) == {(1, 1): "exact", (2, 1): "reparameterised", (3, 2): "exact", (4, 3): "exact", (5, 3): "exact", (8, 4): "exact"}
 
 
-def test_tokens_are_aligned(spark):
-    df = spark.createDataFrame([(QUESTION,), (OTHER,), ("a 1.5km B2 x 3,000.25 kg, Anna-Lena; 12:30 h",)], "text string")
-    for r in df.select(decontam.template_tokens(F.col("text")).alias("t"), decontam.value_tokens(F.col("text")).alias("v")).collect():
-        assert len(r.t) == len(r.v)
-        assert all(a == b or a in (decontam.NUM, decontam.UNIT, decontam.NAME) for a, b in zip(r.t, r.v, strict=True))
+def test_case_breaks_and_names_at_the_start(spark):
+    items = spark.createDataFrame([(1, "Tom has 3 apples. Tom buys 4 more of them and gives Mary 2 apples."), (2, QUESTION)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Ann has 5 apples. Ann buys 9 more of them and gives Rose 8 apples."), (2, "Ann has 5 apples. Tom buys 9 more of them and gives Rose 8 apples."), (3, "x " + QUESTION.lower()), (4, QUESTION.upper()),
+        (5, QUESTION.replace(" ", "  \n")), (6, QUESTION.replace("then Alice", "then surely Alice")), (7, OTHER.replace("then Maria", "then surely Maria")),
+    ], "doc_id long, text string")
+    assert found(docs, items) == {(1, 1): "reparameterised", (3, 2): "exact", (4, 2): "exact", (5, 2): "exact", (6, 2): "exact", (7, 2): "reparameterised"}
+
+
+def test_every_item_is_found(spark):
+    """Items of any length and any share of numbers, word for word in running text and with other numbers."""
+    rng, items, docs, expected = random.Random(5), [], [], {}
+    word = lambda n: "".join(rng.choice("bcdfghjklnprtvz") + rng.choice("aeiou") for _ in range(n))
+    for size in (*range(1, 13), 17, 30, 60):
+        for share in (0.0, 0.3, 0.7, 1.0):
+            numbers = rng.sample(range(100, 10_000), size)
+            item = [str(n) if rng.random() < share else word(3) for n in numbers]
+            other = [str(int(x) + 20_000) if x.isdecimal() else x for x in item]
+            k, plain = len(items), sum(not x.isdecimal() for x in item)
+            items.append((k, " ".join(item)))
+            around = ("", "") if size < 4 else ("so we asked them, ", " and they said no")
+            docs += [(2 * k, around[0] + " ".join(item) + around[1]), (2 * k + 1, (around[0] if size >= 8 else "") + " ".join(other) + (around[1] if size >= 8 else ""))]
+            expected[2 * k, k] = "exact"
+            if other == item:
+                expected[2 * k + 1, k] = "exact"
+            elif plain:
+                expected[2 * k + 1, k] = "reparameterised"
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {k: v for k, v in got.items() if k[0] // 2 == k[1]} == expected
+
+
+def test_tokens_equal_brute_force(spark):
+    texts = [QUESTION, OTHER, "a 1.5km B2 x 3,000.25 kg, Anna-Lena; 12:30 h", "3 . 4 5,x 7/8/ 9mm Mm", "", "ÄÖ über 1"]
+    df = decontam.with_tokens(spark.createDataFrame([(t,) for t in texts], "text string"))
+    kinds = {decontam.NUM: "n", decontam.UNIT: "u", decontam.NAME: "N"}
+    for text, r in zip(texts, df.collect(), strict=True):
+        assert [(kinds.get(t), w.replace(decontam.JOINT, "/")) for t, w in zip(r.tpl, r.lit, strict=True)] == [(k, w.translate({ord(c): "/" for c in ".,:"})) for k, w in tokens(text)]
 
 
 def test_real_tables_equal_brute_force(spark, sf):

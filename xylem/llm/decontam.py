@@ -1,181 +1,198 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-A text becomes template tokens: numbers, units after a number and names (capitalised words in the
-middle of a sentence) become typed placeholders, all else is lower-cased words. Windows of WIDTH
-template tokens of the documents are hash-joined with those of the benchmark. The matches of a
-document and an item on one diagonal (document place minus item place) are evidence of a copy; MIN_RUN
-windows, or half of a shorter item's windows, make a leak. Slot values are then compared: within one
-type each item value must stand for one document value and the other way round. Equal values make an
-`exact` leak, consistent ones a `reparameterised` one; inconsistent slots count only if windows
-without any placeholder are enough evidence by themselves.
-
-Texts are identified by a 64-bit hash while they are compared, so copies share one comparison and no
-row needs a unique id. The benchmark's windows are broadcast if they are at most BROADCAST_ROWS; the
+A text becomes tokens: words and numbers (`5km` is two, `3,000.25` one). In its template numbers, units
+behind a number and capitalised words (names, wherever they stand) are typed placeholders, all else is
+lower-cased words. Hashes of windows of WIDTH template tokens are joined with those of the benchmark.
+Matches of a text and an item on one diagonal (place in the text minus place in the item), or on
+diagonals at most NEAR apart, are a run: inserted or lost words don't split the evidence. MIN_RUN
+windows, or half of a shorter item's, are enough. Then slots are compared within the matched windows:
+within one type each item value must stand for one value of the text and the other way round. Equal
+values make an `exact` leak, consistent ones a `reparameterised` one; every run and every diagonal of it
+is judged and the best verdict of a text and an item counts.
+
+Case and white space can hide a copy from the template, and windows of placeholders alone say nothing,
+so windows of literal lower-case tokens are joined in the same pass; runs of those are `exact`.
+
+Items too short for a window have their own keys: of SHORT to WIDTH - 1 tokens all windows of SHORT
+literal tokens, which must be met on one diagonal; a text that is as a whole an item of fewer tokens is
+exact; a text whose whole template is that of an item of fewer than WIDTH tokens has its slots compared.
+
+An item is indexed by all of its windows with a plain word. A re-parameterised run must show MIN_WORDS
+plain words, or all windows of the item, so that lists of numbers don't pass for a question.
+
+Texts and items are identified by 64-bit hashes while they are compared: copies share one comparison,
+no row needs a unique id. The benchmark's windows are broadcast if there are at most BROADCAST_ROWS; the
 join shuffles both sides beyond that. Only DataFrame functions are used.
 
-Word-for-word copies are also found by windows of literal tokens (lower-case words and numbers), of
-which any counts, and items of SHORT to WIDTH - 1 of them by one window of their length. An item with
-windows of fewer than MIN_WORDS words is met by the others; then all its windows are compared.
-
-Defined cases: null and empty texts, and items of fewer than SHORT literal tokens, match nothing; a
-benchmark item that is repeated counts once for each item_id; repeated documents get a row each;
-private-use characters U+E000 to U+E003 in a text act as placeholders.
+Defined cases: null and empty texts and items match nothing; very long texts are read whole; an item
+that is repeated counts once for each item_id; repeated documents get a row each; ties between runs go
+to the one with more windows; extra columns of either table are ignored (keep_clean returns them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.llm.common import OWN, materialise, whole_text
 
-WIDTH, MIN_RUN, MIN_WORDS = 8, 6, 4
-#: Least number of tokens of an item that a word-for-word copy can show; two or three words stand anywhere.
+WIDTH, MIN_RUN, MIN_WORDS, NEAR = 8, 6, 4, 7
+#: Width of the windows of items that are shorter than WIDTH.
 SHORT = 4
-#: Rows of 8-byte keys (with item and place, about 32 bytes each) that may be broadcast.
+#: Rows of 8-byte keys (with item, place and numbers, about 40 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-NUM, UNIT, NAME, JOINT = "", "", "", ""
-UNITS = "mm|cm|km|kg|mg|lb|lbs|oz|ml|kb|mb|gb|tb|kw|kwh|mph|kmh|hz|mhz|ghz|m|g|l|s|h|w|v|a|usd|eur|gbp|euros?|dollars?|cents?|pounds?|percent|miles?|meters?|metres?|grams?|kilograms?|liters?|litres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|feet|foot|inch|inches"
-_NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+"
-_UNIT = rf"{NUM} +(?i:{UNITS})(?![\p{{L}}\p{{M}}])"
-_OUTSIDE = rf"[^\p{{L}}\p{{M}}{NUM}-{JOINT}]+"
-_OUTSIDE_VALUES = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUM}-{JOINT}]+"
-
-
-def _split(text: Column, outside: str) -> Column:
-    """Tokens between runs of outside characters."""
-    return F.filter(F.split(text, outside), lambda x: x != "")
+NUM, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
+HOLDERS = (NUM, UNIT, NAME)
+UNITS = (
+    "mm cm km kg mg lb lbs oz ml kb mb gb tb kw kwh mph kmh hz mhz ghz m g l s h w v a usd eur gbp euro euros dollar dollars cent cents pound pounds percent mile miles meter meters metre metres gram grams "
+    "kilogram kilograms liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years feet foot inch inches"
+).split()
+#: Kinds of keys: template windows, literal windows, literal windows of short items, whole literal texts, whole templates.
+TEMPLATE, LITERAL, SMALL, WHOLE, WHOLE_TEMPLATE = range(5)
+
+
+def raw_tokens(text: Column) -> Column:
+    """Words and numbers as they are written; parts of a number are held together by JOINT."""
+    t = F.regexp_replace(text, F.lit(r"[.,:/](?<=\p{Nd}[.,:/])(?=\p{Nd})"), F.lit(JOINT))
+    t = F.regexp_replace(t, F.lit(rf"\p{{Nd}}[\p{{Nd}}{JOINT}]*"), F.lit(" $0 "))
+    t = F.when(text.rlike(r"\p{Nd}"), t).otherwise(text)
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{JOINT}]+"), lambda x: x != "")
 
 
-def template_tokens(text: Column) -> Column:
-    t = F.regexp_replace(text, F.lit(_NAME), F.lit(f" {NAME} "))
-    t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUM} "))
-    t = F.regexp_replace(t, F.lit(_UNIT), F.lit(f"{NUM} {UNIT} "))
-    return _split(F.lower(t), _OUTSIDE)
+def _canonical(raw: Column, x: Column, i: Column) -> Column:
+    """Template token of x, which stands at place i of raw."""
+    number = lambda x: F.coalesce(x.rlike(r"^\p{Nd}"), F.lit(False))
+    unit = F.lower(x).isin(*UNITS) & number(F.get(raw, i - 1))
+    return F.when(number(x), NUM).when(unit, UNIT).when(x.rlike(r"^\p{Lu}"), NAME).otherwise(F.lower(x))
 
 
-def value_tokens(text: Column) -> Column:
-    """The tokens of template_tokens, one for one, with the numbers, units and names themselves."""
-    t = F.regexp_replace(text, F.lit(_NAME), F.lit(" $0 "))
-    t = F.regexp_replace(t, F.lit(r"(?<=\p{Nd})[.,:/](?=\p{Nd})"), F.lit(JOINT))
-    t = F.regexp_replace(t, F.lit(rf"\p{{Nd}}[\p{{Nd}}{JOINT}]*"), F.lit(" $0 "))
-    return _split(F.lower(t), _OUTSIDE_VALUES)
+def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add `raw`, `lit` (lower-case tokens) and `tpl` (the template, one for one)."""
+    df = df.withColumn("raw", raw_tokens(whole_text(text)))
+    return df.withColumn("lit", F.transform("raw", F.lower)).withColumn("tpl", F.transform("raw", lambda x, i: _canonical(F.col("raw"), x, i)))
 
 
-def literal_tokens(text: Column) -> Column:
-    """Lower-case words and numbers; capitals and white space make no difference."""
-    t = F.regexp_replace(text, F.lit(r"(?<=\p{Nd})[.,:/](?=\p{Nd})"), F.lit(JOINT))
-    t = F.regexp_replace(t, F.lit(rf"\p{{Nd}}[\p{{Nd}}{JOINT}]*"), F.lit(" $0 "))
-    return _split(F.lower(t), _OUTSIDE_VALUES)
+KEYS = ("t8", "l8", "l4", "w", "wt")
 
 
-def with_windows(df: DataFrame, tokens: str, out: str) -> DataFrame:
-    """Add 64-bit hashes of the windows of WIDTH tokens, by doubling."""
-    df, width = df.withColumn(out, F.transform(tokens, lambda w: F.xxhash64(w))), 1
+def with_keys(df: DataFrame) -> DataFrame:
+    """Add an array of keys for each kind, made from `raw`; windows by doubling (1, 2, 4, 8 tokens)."""
+    df = df.withColumn("t", F.transform("raw", lambda x, i: F.xxhash64(_canonical(F.col("raw"), x, i)))).withColumn("l", F.transform("raw", lambda x: F.xxhash64(F.lower(x), F.lit(1))))
+    whole = lambda h, least, most, kind: F.when(F.size(h).between(least, most), F.array(F.xxhash64(F.lit(kind), h))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("w", whole("l", 1, SHORT - 1, WHOLE)).withColumn("wt", whole("t", 1, WIDTH - 1, WHOLE_TEMPLATE))
+    of_width = lambda h, width: F.slice(h, F.lit(1), F.greatest(F.size(h) - (width - 1), F.lit(0)))
+    width = 1
     while width < WIDTH:
-        df = df.withColumn(out, F.zip_with(out, F.slice(out, F.lit(width + 1), F.greatest(F.size(out), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+        for h in ("t", "l"):
+            df = df.withColumn(h, F.zip_with(h, F.slice(h, F.lit(width + 1), F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
         width *= 2
-    return df.withColumn(out, F.slice(out, F.lit(1), F.greatest(F.size(out) - (WIDTH - 1), F.lit(0))))
+        if width == SHORT:
+            df = df.withColumn("l4", of_width("l", SHORT))
+    return df.withColumn("t8", of_width("t", WIDTH)).withColumn("l8", of_width("l", WIDTH))
+
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """iid, raw, lit, tpl of each distinct text of the benchmark."""
+    texts = benchmark.select(text_key().alias("iid"), whole_text().alias("text")).dropDuplicates(["iid"])
+    return with_tokens(texts).drop("text")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """h, iid, kind, ipos, of (windows of this kind in the item), need."""
+    keyed, parts = with_keys(items), []
+    plain = lambda tokens: F.size(F.filter(tokens, lambda x: ~x.isin(*HOLDERS)))
+    for kind, name in enumerate(KEYS):
+        rows = keyed.select("iid", "tpl", F.size("lit").alias("size"), F.posexplode(name).alias("ipos", "h"))
+        if kind == TEMPLATE:
+            rows = rows.where(plain(F.slice("tpl", F.col("ipos") + 1, F.lit(WIDTH))) > 0)
+        elif kind == SMALL:
+            rows = rows.where(F.col("size") < WIDTH)
+        elif kind == WHOLE_TEMPLATE:
+            rows = rows.where((plain(F.col("tpl")) > 0) & (plain(F.col("tpl")) < F.size("tpl")))
+        parts.append(rows.select("h", "iid", F.lit(kind).alias("kind"), "ipos"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    of = rows.groupBy("iid", "kind").agg(F.count(F.lit(1)).cast("int").alias("of"))
+    need = F.when(F.col("kind") < SMALL, F.least(F.lit(MIN_RUN), F.ceil(F.col("of") / 2))).otherwise(F.col("of")).cast("int")
+    return rows.join(of.withColumn("need", need), ["iid", "kind"]).select("h", "iid", "kind", "ipos", "of", "need")
 
 
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole_text(text))
 
 
-def _literal(tokens: Column, place: Column) -> Column:
-    """Words, not placeholders, in the window at this place."""
-    return F.size(F.filter(F.slice(tokens, place + 1, F.lit(WIDTH)), lambda x: ~x.isin(NUM, UNIT, NAME)))
-
-
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, ipos, h, literal (no placeholder), n_windows, n_wordy for the n_wordy windows of MIN_WORDS words or more."""
-    items = benchmark.select("item_id", template_tokens(whole_text()).alias("tokens"))
-    items = with_windows(items, "tokens", "h").withColumn("n_windows", F.size("h"))
-    rows = items.select("item_id", "tokens", "n_windows", F.posexplode_outer("h").alias("ipos", "h"))
-    rows = rows.withColumn("n_words", _literal(F.col("tokens"), F.col("ipos"))).where(F.col("n_words") >= MIN_WORDS)
-    rows = rows.select("item_id", "ipos", "h", (F.col("n_words") == WIDTH).alias("literal"), "n_windows").distinct()
-    return rows.join(rows.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_wordy")), "item_id")
-
-
 def _checked_broadcast(df: DataFrame) -> DataFrame:
     """df, written; with a broadcast hint if its rows are few."""
     df = materialise(df, "decontam")
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _need(windows: str) -> Column:
-    return F.least(F.lit(MIN_RUN), F.ceil(F.col(windows) / 2))
-
-
-def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, diag, at (item places of the windows), windows, literal_windows, n_windows, n_wordy, need: every diagonal of a text and an item with enough wordy windows.
-
-    `need` is for all windows of the item; leaks() holds it against them once it has the tokens.
-    """
-    windows = _checked_broadcast(item_windows(benchmark))
-    texts = docs.select(text_key().alias("tk"), template_tokens(whole_text()).alias("tokens"))
-    places = with_windows(texts, "tokens", "hs").select("tk", F.posexplode_outer("hs").alias("pos", "h"))
-    met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "literal", "n_windows", "n_wordy").distinct()
-    runs = met.groupBy("tk", "item_id", "diag").agg(
-        F.collect_list("ipos").alias("at"), F.count(F.lit(1)).alias("windows"), F.count_if("literal").alias("literal_windows"), F.max("n_windows").alias("n_windows"), F.max("n_wordy").alias("n_wordy")
-    )
-    return runs.withColumn("need", _need("n_windows")).where(F.col("windows") >= _need("n_wordy"))
-
-
-def literal_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, windows, n_windows: word-for-word copies, by windows of literal tokens; items of SHORT to WIDTH - 1 tokens as one window."""
-    items = benchmark.select("item_id", literal_tokens(whole_text()).alias("tokens")).distinct()
-    short = materialise(items.where(F.size("tokens").between(SHORT, WIDTH - 1)), "short")
-    widths = sorted(r[0] for r in short.select(F.size("tokens")).distinct().collect())
-    long = with_windows(items, "tokens", "h").select("item_id", F.size("h").alias("n_windows"), F.posexplode_outer("h").alias("ipos", "h")).where("h IS NOT NULL")
-    whole = short.select("item_id", F.lit(1).alias("n_windows"), F.lit(0).alias("ipos"), F.xxhash64(F.size("tokens"), "tokens").alias("h"))
-    windows = _checked_broadcast(long.unionByName(whole).distinct())
-    texts = with_windows(docs.select(text_key().alias("tk"), literal_tokens(whole_text()).alias("tokens")), "tokens", "hs")
-    places = texts.select("tk", F.posexplode_outer("hs").alias("pos", "h"))
-    for w in widths:
-        starts = F.when(F.size("tokens") >= w, F.sequence(F.lit(0), F.size("tokens") - w)).otherwise(F.array().cast("array<int>"))
-        keys = F.transform(starts, lambda i: F.xxhash64(F.lit(w), F.slice("tokens", i + 1, F.lit(w))))  # noqa: B023
-        places = places.unionByName(texts.select("tk", F.posexplode_outer(keys).alias("pos", "h")))
-    met = places.join(windows, "h").select("tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "n_windows").distinct()
-    runs = met.groupBy("tk", "item_id", "diag", "n_windows").agg(F.count(F.lit(1)).alias("windows")).where(F.col("windows") >= _need("n_windows"))
-    return runs.groupBy("tk", "item_id").agg(F.max(F.struct("windows", "n_windows")).alias("b")).select("tk", "item_id", "b.windows", "b.n_windows")
+def diagonals(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """tk, iid, kind, of, need, diag, at: the item places of the matched windows of each diagonal."""
+    small = not windows.where(F.col("kind") == SMALL).isEmpty()
+    texts = with_keys(docs.select(text_key().alias("tk"), raw_tokens(whole_text()).alias("raw")))
+    texts = texts if small else texts.withColumn("l4", F.array().cast("array<bigint>"))
+    ends, columns = F.lit(0), []
+    for kind, name in enumerate(KEYS[:-1]):
+        ends = ends + F.size(name)
+        columns.append(ends.alias(f"e{kind}"))
+    places = texts.select("tk", *columns, F.posexplode_outer(F.concat(*KEYS)).alias("pos", "h"))
+    met = places.join(windows, "h")
+    start = F.lit(0)
+    for kind in range(1, len(KEYS)):
+        start = F.when(F.col("kind") == kind, F.col(f"e{kind - 1}")).otherwise(start)
+    met = met.select("tk", "iid", "kind", "of", "need", (F.col("pos") - start - F.col("ipos")).alias("diag"), "ipos")
+    return met.groupBy("tk", "iid", "kind", "of", "need", "diag").agg(F.collect_set("ipos").alias("at"))
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """tk, iid, kind, of, windows, parts (diag, at): runs of near diagonals, and their diagonals alone, with enough windows."""
+    by = ["tk", "iid", "kind", "of", "need"]
+    order = Window.partitionBy(*by).orderBy("diag")
+    near = F.when(F.col("kind") < SMALL, F.lit(NEAR)).otherwise(F.lit(0))
+    begins = F.when(F.col("diag") - F.lag("diag").over(order) <= near, 0).otherwise(1)
+    chained = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    whole = chained.groupBy(*by, "run").agg(F.collect_list(F.struct("diag", "at")).alias("parts"))
+    alone = F.transform("parts", lambda p: F.array(p))
+    every = whole.select(*by, F.explode(F.when(F.size("parts") > 1, F.concat(F.array("parts"), alone)).otherwise(F.array("parts"))).alias("parts"))
+    every = every.withColumn("windows", F.size(F.array_distinct(F.flatten(F.col("parts")["at"]))))
+    return every.where(F.col("windows") >= F.col("need")).select("tk", "iid", "kind", "of", "windows", "parts")
+
+
+def _slots_judged(template_runs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """tk, iid, windows, of, n_slots, verdict of the runs whose slots agree."""
+    wanted = _checked_broadcast(template_runs.select("tk").distinct())
+    texts = docs.select(text_key().alias("tk"), "text").join(wanted, "tk", "left_semi").dropDuplicates(["tk"])
+    texts = with_tokens(texts).select("tk", F.col("lit").alias("dv"))
+    rows = template_runs.join(items.select("iid", F.col("lit").alias("iv"), F.col("tpl").alias("it")), "iid").join(texts, "tk")
+    holder = lambda i: F.get("it", i).isin(*HOLDERS)
+    covered = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, F.least(a + (WIDTH - 1), F.size("it") - 1)))))
+    one = lambda p: F.transform(F.filter(covered(p["at"]), holder), lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("i"), F.get("dv", i + p["diag"]).alias("d")))
+    plain = F.size(F.filter(covered(F.array_distinct(F.flatten(F.col("parts")["at"]))), lambda i: ~holder(i)))
+    rows = rows.select("tk", "iid", "windows", "of", plain.alias("plain"), F.array_distinct(F.flatten(F.transform("parts", one))).alias("slots"))
+    pairs, of_item, of_doc = F.size("slots"), *(F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: F.struct(s["kind"], s["i"]), lambda s: F.struct(s["kind"], s["d"])))
+    enough = (F.col("plain") >= MIN_WORDS) | (F.col("windows") == F.col("of"))
+    verdict = F.when(F.forall("slots", lambda s: s["i"] == s["d"]), "exact").when((pairs == of_item) & (pairs == of_doc) & enough, "reparameterised")
+    return rows.select("tk", "iid", "windows", "of", pairs.alias("n_slots"), verdict.alias("verdict")).where(F.col("verdict").isNotNull())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """tk, item_id, windows, n_windows, n_slots, verdict for each text and item that is a leak: the best verdict of all diagonals."""
-    found = materialise(candidates(docs, benchmark), "candidates")
-    items = benchmark.select("item_id", template_tokens(whole_text()).alias("it"), value_tokens(whole_text()).alias("iv"))
-    items = items.where(F.exists("it", lambda x: x.isin(NUM, UNIT, NAME))).distinct()
-    slotted = found.drop("windows").join(items, "item_id")
-    wanted = _checked_broadcast(slotted.select("tk").distinct())
-    texts = docs.withColumn("tk", text_key()).join(wanted, "tk", "left_semi").select("tk", template_tokens(whole_text()).alias("dt"), value_tokens(whole_text()).alias("dv")).dropDuplicates(["tk"])
-    shift = F.col("diag").cast("int")
-    same = lambda i: F.when(i + shift >= 0, F.slice("it", i + 1, F.lit(WIDTH)) == F.slice("dt", F.greatest(i + shift + 1, F.lit(1)), F.lit(WIDTH)))
-    dense = F.filter(F.sequence(F.lit(0), F.col("n_windows") - 1), lambda i: F.coalesce(same(i), F.lit(False)))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (WIDTH - 1))))))
-    places = F.filter(covered, lambda i: F.get("it", i).isin(NUM, UNIT, NAME) & (F.get("it", i) == F.get("dt", i + F.col("diag").cast("int"))))
-    slots = slotted.join(texts, "tk").withColumn("at", F.when(F.col("n_wordy") < F.col("n_windows"), dense).otherwise(F.col("at"))).withColumn(
-        "slots", F.transform(places, lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("i"), F.get("dv", i + F.col("diag").cast("int")).alias("d")))
-    )
-    pairs, of_item, of_doc = (F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: s, lambda s: F.struct(s["kind"], s["i"]), lambda s: F.struct(s["kind"], s["d"])))
-    checked = slots.select(
-        "tk", "item_id", "diag", F.size("at").cast("long").alias("all_windows"), F.size("slots").alias("slots"), F.forall("slots", lambda s: s["i"] == s["d"]).alias("equal"), ((pairs == of_item) & (pairs == of_doc)).alias("consistent")
-    ).distinct()
-    joined = found.join(checked, ["tk", "item_id", "diag"], "left").withColumn("windows", F.coalesce("all_windows", "windows")).where(F.col("windows") >= F.col("need"))
-    verdict = F.when(F.coalesce("equal", F.lit(True)), "exact").when(F.col("consistent"), "reparameterised").when(F.col("literal_windows") >= F.col("need"), "exact")
-    judged = joined.select("tk", "item_id", "windows", "n_windows", F.coalesce("slots", F.lit(0)).alias("n_slots"), verdict.alias("verdict")).where(F.col("verdict").isNotNull())
-    literal = literal_leaks(docs, benchmark).select("tk", "item_id", "windows", "n_windows", F.lit(0).alias("n_slots"), F.lit("exact").alias("verdict"))
-    rank = F.when(F.col("verdict") == "exact", 4).otherwise(2)
-    literal_rank = F.when(F.col("windows") == F.col("n_windows"), 3).otherwise(1)
-    both = judged.withColumn("rank", rank).unionByName(literal.withColumn("rank", literal_rank))
-    best = both.groupBy("tk", "item_id").agg(F.max(F.struct("rank", "windows", "n_slots", "n_windows", "verdict")).alias("b"))
-    return best.select("tk", "item_id", "b.windows", "b.n_windows", "b.n_slots", "b.verdict")
+    """tk, item_id, windows, n_windows, n_slots, verdict for each text and item that is a leak."""
+    items = materialise(item_table(benchmark), "items")
+    found = materialise(runs(diagonals(docs, _checked_broadcast(item_windows(items)))), "runs")
+    is_literal = F.col("kind").isin(LITERAL, SMALL, WHOLE)
+    literal = found.where(is_literal).select("tk", "iid", "windows", "of", F.lit(0).alias("n_slots"), F.lit("exact").alias("verdict"))
+    rest = materialise(found.where(~is_literal).join(literal.select("tk", "iid").distinct(), ["tk", "iid"], "left_anti"), "templates")
+    both = literal.unionByName(_slots_judged(rest, docs, items))
+    best = both.groupBy("tk", "iid").agg(F.max(F.struct((F.col("verdict") == "exact").alias("exact"), "windows", "of", "n_slots", "verdict")).alias("b"))
+    named = benchmark.select(text_key().alias("iid"), "item_id").distinct()
+    return best.join(named, "iid").select("tk", "item_id", "b.windows", F.col("b.of").alias("n_windows"), "b.n_slots", "b.verdict")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows, n_windows, n_slots, verdict: one row for each leaked item of a document."""
-    found = materialise(leaks(docs, benchmark), "leaks")
+    found = _checked_broadcast(leaks(docs, benchmark))
     return docs.select("doc_id", text_key().alias("tk")).join(found, "tk").drop("tk")
 
 
