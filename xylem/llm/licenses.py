@@ -1,22 +1,26 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, sentences are normalised, and known ones become identifiers. The
-sequence of identifiers is then matched against licence rules in order: a rule is a sequence that must
-appear in this order; the first rule that matches takes its identifiers away and matching goes on with
-the rest, so a file with several licences gets all of them. Identifiers no rule takes are reported.
+A text is read as a sequence of words and numbers; punctuation, case, comment marks and line ends make
+no difference. A table of known licence sentences in that form is a token trie: at each token the
+longest known sentence that begins there becomes an identifier, and reading goes on behind it. A
+sentence may be wrapped over any number of lines but not over a blank one.
 
-Lines and sentence ends cut a text into fragments. A known sentence may run over several lines, so
-at each fragment the longest run of fragments that forms a known sentence wins.
+The sequence of identifiers is then matched against licence rules in order: a rule is a sequence that
+must appear in this order; the first rule that matches takes its identifiers away and matching goes on
+with the rest, so a file with several licences gets all of them. Identifiers no rule takes are reported.
 
-Only texts with a cue can hold a known sentence (every known sentence holds one); the JVM blanks the
-others before texts go to Python. One pass, no shuffle.
+Only texts with a cue can hold a known sentence: every known sentence has a word that holds one, so line
+ends can't break it. The JVM blanks the other texts before they go to Python. One pass, no shuffle;
+the work grows with the length of a text.
 
-Defined cases: null, empty and cue-free texts have no sentences and no licence; repeated rows get a
-row each; very long texts are scanned whole.
+Defined cases: null, empty and cue-free texts have no sentences and no licence; of sentences that begin
+at one token the longest wins; repeated rows get a row each; very long texts are scanned whole; columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,59 +30,88 @@ from pyspark.sql import functions as F
 
 from xylem.llm.common import OWN
 
-CUES = r"licen[sc]|copyright|warrant|redistribut|permission|free software|spdx|public domain|liab|credit|merchantability"
-_VERSION = r"(?P<v>[0-9]+(?: [0-9]+)*)"
+CUES = r"licen[sc]|copyright|warrant|permi[st]|spdx|domain|liable|software|distribut|reserved|reproduction|(?<![a-z])cc"
 
-#: Identifier and pattern of a normalised sentence (lower case, only letters, digits and single blanks).
+#: Identifier and normalised sentence. # is a number, a/b either word (_ is none, ~ joins words of
+#: one choice), {k} a kind of GNU licence, {cc} the terms of a Creative Commons licence.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx license identifier (?P<v>[a-z0-9 ]+)"),
-    ("copyright", r"(?:portions )?copyright (?:c )?[0-9]{4}.*"),
-    ("rights-reserved", r"all rights reserved under copyright"),
-    ("apache-notice", rf"licensed under the apache license version {_VERSION}(?: the license)?"),
-    ("apache-use", r"you may not use this file except in compliance with the license"),
-    ("apache-copy", r"you may obtain a copy of the license at.*"),
-    ("apache-basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("mit-released", r"(?:this (?:work|software|project) is )?(?:released|licensed|distributed) under the (?:terms of the )?mit license"),
-    ("mit-title", r"(?:the )?mit license(?: mit)?"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("as-is-software", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability.*"),
-    ("gnu-work", rf"this (?:work|software|program|project) is licensed under the gnu (?P<k>(?:lesser |affero )?)general public license version {_VERSION}"),
-    ("gnu-free", rf"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu (?P<k>(?:lesser |affero )?)general public license as published by the free software foundation either version {_VERSION} of the license or at your option any later version"),
-    ("gnu-hope", r"this (?:program|library) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gnu-see", r"see the gnu (?:lesser |affero )?general public license for more details"),
-    ("gnu-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this (?:program|library).*"),
-    ("bsd-conditions", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", r"(?:[0-9] )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd-binary", r"(?:[0-9] )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-endorse", r"(?:[0-9] )?neither the name of .* (?:may|nor the names of its contributors may) be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-as-is", r"this software is provided by .* as is and any express or implied warranties.*"),
-    ("bsd-liability", r"in no event shall .* be liable for any direct indirect incidental special exemplary or consequential damages.*"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("isc-as-is", r"the software is provided as is and the author disclaims all warranties with regard to this software.*"),
-    ("mpl-notice", rf"this source code form is subject to the terms of the mozilla public license v {_VERSION}"),
-    ("mpl-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at .* under its license"),
-    ("cc-notice", rf"(?:this work is )?licensed under (?:a )?(?:the )?(?:cc|creative commons) (?P<k>by(?: nc| sa| nd)*) {_VERSION}(?: .*license)?"),
-    ("cc-zero", r"(?:this work is )?(?:released|licensed|dedicated) (?:under|to) cc0.*public domain.*"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", r"(?:this (?:file|work|software) is )?(?:released into|in|placed in) the public domain"),
+    ("spdx", "spdx license identifier"),
+    ("copyright", "copyright c/_ #"),
+    ("rights-reserved", "all rights reserved"),
+    ("apache-notice", "licensed under the apache license version/v/_ #"),
+    ("apache-title", "apache license version #"),
+    ("apache-terms", "terms and conditions for use reproduction and distribution"),
+    ("apache-use", "you may not use this file except in compliance with the license"),
+    ("apache-copy", "you may obtain a copy of the license at"),
+    ("apache-basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-see", "see the license for the specific language governing permissions and limitations under the license"),
+    ("mit-released", "released/licensed/distributed under the/the~terms~of~the mit license"),
+    ("mit-title", "mit license"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("as-is-software", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit-liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("gnu-work", "licensed/released/distributed under the/the~terms~of~the gnu {k} general public license version/v/_ #"),
+    ("gnu-title", "gnu {k} general public license version #"),
+    ("gnu-later", "free software you can redistribute it and or modify it under the terms of the gnu {k} general public license as published by the free software foundation either version # of the license or at your option any later version"),
+    ("gnu-only", "free software you can redistribute it and or modify it under the terms of the gnu {k} general public license as published by the free software foundation version # of the license"),
+    ("gnu-only", "free software you can redistribute it and or modify it under the terms of the gnu {k} general public license version # as published by the free software foundation"),
+    ("gnu-hope", "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gnu-see", "see the gnu lesser/affero/library/_ general public license for more details"),
+    ("gnu-copy", "you should have received a copy of the gnu lesser/affero/library/_ general public license"),
+    ("bsd-conditions", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement/acknowledgment"),
+    ("bsd-endorse", "be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-as-is", "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-liability", "be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("isc-grant", "permission to use copy modify and/_ or/and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "permission to use copy modify and/_ or/and distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-as-is", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v #"),
+    ("mpl-copy", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib-origin", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost-notice", "distributed under the boost software license version #"),
+    ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("eclipse-notice", "made available under the/the~terms~of~the eclipse public license version/v/_ #"),
+    ("european-notice", "licensed under the eupl version/v/_ #"),
+    ("wtf-copies", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc-notice", "licensed under a/the/_ cc/creative~commons {cc} #"),
+    ("cc-zero", "released/licensed/dedicated/available under/to cc 0"),
+    ("cc-zero", "cc 0 # universal"),
+    ("unlicense", "free and unencumbered software released into the public domain"),
+    ("public-domain", "released~into/placed~in/dedicated~to/is~in the public domain"),
 ]
 #: Licence and the identifiers it needs, in order; a longer rule stands before the shorter one it holds.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-{v}", ("apache-notice", "apache-use", "apache-copy", "apache-basis", "apache-see")),
+    ("Apache-{v}", ("apache-title", "apache-terms")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is-software", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "as-is-software", "mit-liability")),
-    ("{k}GPL-{v}-or-later", ("gnu-free", "gnu-hope", "gnu-see", "gnu-copy")),
-    ("{k}GPL-{v}-or-later", ("gnu-free",)),
+    ("{k}GPL-{v}-or-later", ("gnu-later", "gnu-hope", "gnu-see", "gnu-copy")),
+    ("{k}GPL-{v}-or-later", ("gnu-later", "gnu-hope", "gnu-see")),
+    ("{k}GPL-{v}-or-later", ("gnu-later",)),
+    ("{k}GPL-{v}-only", ("gnu-only", "gnu-hope", "gnu-see", "gnu-copy")),
+    ("{k}GPL-{v}-only", ("gnu-only",)),
+    ("BSD-4-Clause", ("bsd-conditions", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-conditions", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
     ("ISC", ("isc-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
     ("MPL-{v}", ("mpl-notice", "mpl-copy")),
     ("MPL-{v}", ("mpl-notice",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin")),
+    ("BSL-{v}", ("boost-notice",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-{v}", ("eclipse-notice",)),
+    ("EUPL-{v}", ("european-notice",)),
+    ("WTFPL", ("wtf-copies",)),
     ("Apache-{v}", ("apache-notice",)),
     ("{k}GPL-{v}", ("gnu-work",)),
+    ("{k}GPL-{v}", ("gnu-title",)),
     ("MIT", ("mit-released",)),
     ("CC-{k}-{v}", ("cc-notice",)),
     ("CC0", ("cc-zero",)),
@@ -88,88 +121,128 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 #: Identifiers that stand beside a licence and aren't part of one.
 ASIDE = {"copyright", "rights-reserved"}
-#: Identifiers whose sentence is one line; other sentences may run on, up to a blank line.
-ONE_LINE = {"copyright", "spdx"}
-#: Lines that one sentence may run over.
-MOST_LINES = 12
+GNU_KINDS = {"": "", "lesser": "L", "library": "L", "affero": "A"}
+#: Words of the terms of a Creative Commons licence, long and short.
+_TERMS = {"NC": ("noncommercial", "non commercial", "nc"), "SA": ("sharealike", "share alike", "sa"), "ND": ("noderivatives", "noderivs", "no derivatives", "nd")}
 
-_KNOWN = re.compile(r"(?:^|(?<= ))(?:" + "|".join(re.sub(r"[?]P<[vk]>", "", p) for _, p in SENTENCES) + ")$")
-_EACH = [re.compile(p) for _, p in SENTENCES]
-_CUE = re.compile(CUES)
-_CUTS = re.compile(r"(\n)|(?<=[.!?;])[ \t]+")
+_TOKEN = re.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z]+|\n")
+_SPDX = re.compile(r"spdx\W{0,3}license\W{0,3}identifier[ \t]*:?[ \t]*([a-z0-9.+()\- \t]*)", re.I)
 
 
-def normalise(sentence: str) -> str:
-    """Lower case, letters and digits only, single blanks; version dots become blanks."""
-    return " ".join(re.findall(r"[a-z0-9]+", sentence.lower()))
+def tokens(text: str) -> list[str]:
+    """Lower-case words, numbers (2.0 is one) and line ends."""
+    return _TOKEN.findall(text.lower())
 
 
-def identify(sentence: str) -> tuple[str, dict[str, str]] | None:
-    """Identifier of a normalised sentence and its values (version, kind).
+def _creative_terms() -> Iterator[tuple[str, str]]:
+    """(words, short name) of the terms of Creative Commons licences."""
+    for extra in ((), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND")):
+        for words in itertools.product(("attribution", "by"), *[_TERMS[t] for t in extra]):
+            yield " ".join(words), "-".join(("BY", *extra))
 
-    Words before a known sentence are let go: texts often put a notice behind running text.
-    """
-    known = _KNOWN.search(sentence)
-    if not known:
-        return None
-    for (name, _), pattern in zip(SENTENCES, _EACH, strict=True):
-        if found := pattern.fullmatch(known[0]):
-            return name, {k: (v or "").strip() for k, v in found.groupdict().items()}
-    return None
-
-
-def fragments(text: str) -> list[tuple[str, bool]]:
-    """Normalised fragments, and whether a line end (not a sentence end) follows."""
-    out, start = [], 0
-    for cut in [*_CUTS.finditer(text), None]:
-        piece = text[start : cut.start() if cut else len(text)]
-        out.append((normalise(piece), bool(cut and cut[1]) and not piece.rstrip().endswith((".", "!", "?"))))
-        start = cut.end() if cut else len(text)
-    return out
 
+def spelled(sentence: str) -> Iterator[tuple[str, str]]:
+    """All (plain sentence, kind) that a sentence of the table stands for."""
+    if "{k}" in sentence:
+        kinds = [(sentence.replace("{k}", word or "_"), kind) for word, kind in GNU_KINDS.items()]
+    elif "{cc}" in sentence:
+        kinds = [(sentence.replace("{cc}", word), kind) for word, kind in _creative_terms()]
+    else:
+        kinds = [(sentence, "")]
+    for one, kind in kinds:
+        for choice in itertools.product(*[w.split("/") for w in one.split()]):
+            yield " ".join(" ".join(c for c in choice if c != "_").replace("~", " ").split()), kind
 
-def sentences(text: str) -> list[tuple[str, dict[str, str]]]:
-    """Known sentences in order; of those that begin at a fragment the one with the most lines."""
-    parts, out, k = fragments(text), [], 0
-    while k < len(parts):
-        joined, found, step = "", None, 1
-        for j in range(k, min(k + MOST_LINES, len(parts))):
-            joined = f"{joined} {parts[j][0]}".strip()
-            if parts[j][0] and _CUE.search(joined) and (hit := identify(joined)) and (j == k or hit[0] not in ONE_LINE):
-                found, step = hit, j - k + 1
-            if not parts[j][1] or not parts[j][0]:
+
+def _trie() -> dict:
+    """Nested dicts by token; the value at key '' is (identifier, kind) of the sentence that ends there."""
+    root: dict = {}
+    for name, sentence in SENTENCES:
+        for plain, kind in spelled(sentence):
+            node = root
+            for token in plain.split():
+                node = node.setdefault(token, {})
+            node.setdefault("", (name, kind))
+    return root
+
+
+TRIE = _trie()
+
+
+def longest(words: list[str], at: int) -> tuple[int, tuple[str, str], str] | None:
+    """(place behind it, (identifier, kind), number) of the longest known sentence that begins at a place."""
+    node, found, number, after_line_end = TRIE, None, "", False
+    for k in range(at, len(words)):
+        word = words[k]
+        if word == "\n":
+            if after_line_end:
                 break
-        if found:
-            out.append(found)
-        k += step
+            after_line_end = True
+            continue
+        after_line_end = False
+        if word in node:
+            node = node[word]
+        elif word[0].isdigit() and "#" in node:
+            node, number = node["#"], word
+        else:
+            break
+        if "" in node:
+            found = k + 1, node[""], number
+    return found
+
+
+def sentences(text: str) -> list[tuple[str, dict[str, str]]]:
+    """Known sentences in order, with their values (number, kind)."""
+    words, out, k, noted = tokens(text), [], 0, None
+    while k < len(words):
+        found = longest(words, k) if words[k] in TRIE else None
+        if not found:
+            k += 1
+            continue
+        k, (name, kind), number = found
+        if name == "spdx":
+            noted = _SPDX.finditer(text) if noted is None else noted
+            number = " ".join(next(noted, [None, ""])[1].split())
+        out.append((name, {"v": number, "k": kind}))
     return out
 
 
 def licences(known: list[tuple[str, dict[str, str]]]) -> tuple[list[str], list[str]]:
-    """Licences in the order of the rules, each rule as often as it matches, and identifiers no rule takes."""
-    rest, out = [x for x in known if x[0] not in ASIDE], []
-    for name, needs in RULES:
+    """Licences in the order of the rules, each rule as often as it matches, and identifiers no rule takes.
+
+    A rule takes the earliest places that are free. Places that lie before the identifier needed ahead of
+    them are of no use to later matches of the rule either, so each rule goes through the places once.
+    """
+    places: dict[str, list[int]] = {}
+    for k, (name, _) in enumerate(known):
+        places.setdefault(name, []).append(k)
+    taken, out = {k for k, x in enumerate(known) if x[0] in ASIDE}, []
+    for rule, needs in RULES:
+        if any(n not in places for n in needs):
+            continue
+        heads = dict.fromkeys(needs, 0)
         while True:
-            taken, at = [], 0
+            at, own = -1, []
             for need in needs:
-                at = next((k for k in range(at, len(rest)) if rest[k][0] == need), None)
-                if at is None:
+                row = places[need]
+                while heads[need] < len(row) and (row[heads[need]] <= at or row[heads[need]] in taken):
+                    heads[need] += 1
+                if heads[need] == len(row):
                     break
-                taken.append(at)
-                at += 1
-            if len(taken) < len(needs):
+                at = row[heads[need]]
+                own.append(at)
+            if len(own) < len(needs):
                 break
-            values = {"v": "", "k": ""} | {k: v for t in taken for k, v in rest[t][1].items()}
-            kind = {"lesser": "L", "affero": "A"}.get(values["k"], values["k"].upper().replace(" ", "-"))
-            out.append(name.format(v=values["v"].replace(" ", "." if name[:4] != "SPDX" else "-"), k=kind))
-            rest = [x for k, x in enumerate(rest) if k not in set(taken)]
-    return out, [x[0] for x in rest]
+            taken.update(own)
+            values = {"v": "", "k": ""} | {k: v for t in own for k, v in known[t][1].items() if v}
+            out.append(rule.format(**values))
+    return out, [x[0] for k, x in enumerate(known) if k not in taken]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licences, unmatched (names joined by commas) for every row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    told = F.when(F.lower(text).rlike(rf"(?:{CUES})"), text)
+    told = F.when(text.rlike(rf"(?i)(?:{CUES})"), text)
     held = docs.select("doc_id", told.alias(f"{OWN}t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +250,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(1):
                 known = sentences(text.as_py()) if text.is_valid else []
-                found, rest = licences(known)
+                found, rest = licences(known) if known else ([], [])
                 rows.append((len(known), ",".join(x[0] for x in known), ",".join(found), ",".join(rest)))
             columns = [pa.array([r[k] for r in rows], pa.int64() if not k else pa.string()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_sentences", "sentence_ids", "licences", "unmatched"])
