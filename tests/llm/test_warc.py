@@ -12,7 +12,7 @@ BIG = "<p>" + "x" * 200
 
 
 def pages(spark):
-    rows = [(5, "http://a/x", BIG), (3, "http://b/ü\r\nX: y", BIG), (3, "http://b/", BIG), (9, None, BIG), (None, "http://c/", BIG), (1, "http://d/", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "é" * 50), (8, "u", "é" * 50), (None, None, "y" * 300), (None, None, "y" * 300), (10, "u", "z\r\n\r\nWARC/1.1\r\n" * 5000)]
+    rows = [(5, "http://a/x", BIG), (3, "http://b/ü\r\nX: y", BIG), (3, "http://b/", BIG), (9, None, BIG), (None, "http://c/", BIG), (1, "http://d/", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "é" * 50), (8, "u", "é" * 50), (None, None, "y" * 300), (None, None, "y" * 300), (10, "u", "z\r\n\r\nWARC/1.1\r\n" * 5000), (11, "u", "long " * 400_000)]
     return spark.createDataFrame([(*r, "d", 1, 2, "r") for r in rows], SCHEMA)
 
 
@@ -62,6 +62,21 @@ def test_normaliser(tmp_path):
         warc.normalise(source, target)
 
 
+def test_damaged_archives_are_told(spark, tmp_path):
+    good, bad = (warc.record("0:0", 1, "http://x/", b"payload", d, None) for d in (hashlib.sha256(b"payload").hexdigest(), "0" * 64))
+    for name, whole in (("good", good), ("bad", bad)):
+        with gzip.open(tmp_path / f"{name}.stream", "wb") as f:
+            f.write(whole)
+        warc.normalise(str(tmp_path / f"{name}.stream"), str(tmp_path / name))
+    archives = lambda name: spark.createDataFrame([(str(tmp_path / name), 1)], "path string, records long")
+    assert warc.read_archives(archives("good")).first().payload_digest == hashlib.sha256(b"payload").hexdigest()
+    with pytest.raises(Exception, match="isn't what its header says"):
+        warc.read_archives(archives("bad")).collect()
+    # a second attempt writes the same archive and leaves no part behind
+    warc.normalise(str(tmp_path / "good.stream"), str(tmp_path / "good"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bad", "bad.idx", "bad.stream", "good", "good.idx", "good.stream"]
+
+
 def test_sql_counterpart(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")

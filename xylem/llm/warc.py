@@ -4,23 +4,30 @@
    compress whole files do. Rows with equal payloads of at least LEAST_SHARED bytes share one
    response: that of the smallest page_id; the others are revisit records without payload.
 2. The normaliser inflates such a stream once, writes every record as a gzip member of its own and a
-   sidecar index (offset, length, record id), and removes the stream.
-3. The reader takes the index, seeks to each member and parses the record alone.
-
-Files are in the mounted shared folder; each is renamed into place when whole, so a task that runs
-again writes the same file again. Only digests are shuffled to find equal payloads; the table of
+   sidecar index (offset, length, record id).
+3. The reader takes the index, seeks to each member, parses the record alone and hashes the payload it
+   read; a response whose payload isn't what its header says is an error. A revisit has no payload, so
+   its length and digest are those of its header.
+
+Files are in the mounted shared folder. Each attempt of a task writes files of its own and renames them
+into place when whole; all attempts write the same bytes, so it doesn't matter which comes last. The
+driver removes the streams when all archives stand. Only digests are shuffled to find equal payloads; the table of
 shared digests is broadcast if it has at most BROADCAST_ROWS rows, else joined by a shuffle.
 
 Defined cases: a null html is an empty payload; a null url leaves the target out; a null page_id is
 never the smallest unless all of its group are null, which are responses all; rows that repeat the
-smallest page_id with the same payload are responses each.
+smallest page_id with the same payload are responses each; payloads of any length are written whole;
+columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import os
+import shutil
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -86,15 +93,15 @@ def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def normalise(source: str, target: str) -> int:
     """Inflate `source` once; write each record as its own member to `target` and the index beside it."""
-    offset, count = 0, 0
-    with gzip.open(source, "rb") as stream, open(f"{target}.part", "wb") as out, open(f"{target}.idx.part", "w") as index:
+    offset, count, own = 0, 0, uuid.uuid4().hex
+    with gzip.open(source, "rb") as stream, open(f"{target}.{own}", "wb") as out, open(f"{target}.idx.{own}", "w") as index:
         for fields, whole in parsed(stream):
             member = gzip.compress(whole, LEVEL, mtime=0)
             out.write(member)
             index.write(f"{offset}\t{len(member)}\t{fields['warc-record-id']}\n")
             offset, count = offset + len(member), count + 1
-    os.replace(f"{target}.idx.part", f"{target}.idx")
-    os.replace(f"{target}.part", target)
+    os.replace(f"{target}.idx.{own}", f"{target}.idx")
+    os.replace(f"{target}.{own}", target)
     return count
 
 
@@ -112,12 +119,13 @@ def read_records(archive: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write planned rows, one single-stream archive a task; (path, records)."""
+    """Write planned rows, one single-stream archive a task, below `folder`/streams; (path, records)."""
+    os.makedirs(f"{folder}/streams", exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        path, count = f"{folder}/pages-{part:06d}.stream.warc.gz", 0
-        own = f"{path}.{TaskContext.get().taskAttemptId()}"
+        path, count = f"{folder}/streams/pages-{part:06d}.warc.gz", 0
+        own = f"{path}.{uuid.uuid4().hex}"
         with gzip.GzipFile(own, "wb", compresslevel=LEVEL, mtime=0) as out:
             for batch in batches:
                 columns = [batch.column(k) for k in range(5)]
@@ -139,18 +147,15 @@ def _spread(archives: DataFrame) -> DataFrame:
     return archives.repartition(max(1, archives.count()))
 
 
-def normalised(archives: DataFrame, keep_streams: bool = False) -> DataFrame:
-    """(path, records) of the archives rewritten with a member for each record."""
+def normalised(archives: DataFrame) -> DataFrame:
+    """(path, records) of the archives rewritten with a member for each record, beside the folder of the streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = path.replace(".stream.warc.gz", ".warc.gz")
-                if not os.path.exists(target):  # a task that runs again after the stream was removed
-                    if normalise(path, target) != records:
-                        raise ValueError(f"{path}: {records} records were written")
-                if not keep_streams and os.path.exists(path):
-                    os.remove(path)
+                target = path.replace("/streams/", "/")
+                if normalise(path, target) != records:
+                    raise ValueError(f"{path}: {records} records were written")
                 yield pa.RecordBatch.from_pydict({"path": [target], "records": pa.array([records], pa.int64())})
 
     return _spread(archives).mapInArrow(run, "path string, records long")
@@ -166,9 +171,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows = []
                 for f, payload in read_records(path):
-                    if f["warc-type"] == "response" and len(payload) != int(f["x-payload-length"]):
-                        raise ValueError(f"{path}: a payload of {len(payload)} bytes instead of {f['x-payload-length']}")
-                    rows.append((number(f.get("x-page-id")), int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"], number(f.get("x-refers-to-page-id"))))
+                    size, digest = int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:")
+                    if f["warc-type"] == "response":
+                        read = len(payload), hashlib.sha256(payload).hexdigest()
+                        if read != (size, digest):
+                            raise ValueError(f"{path}: the payload of {f['warc-record-id']} isn't what its header says")
+                        size, digest = read
+                    rows.append((number(f.get("x-page-id")), size, digest, f["warc-type"], number(f.get("x-refers-to-page-id"))))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -179,7 +188,9 @@ def archived(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back the archives of pages."""
     folder = mounted_dir(pages.sparkSession, "warc")
     streams = materialise(write_archives(planned(pages), folder), "warc-streams")
-    return read_archives(materialise(normalised(streams), "warc-archives"))
+    archives = materialise(normalised(streams), "warc-archives")
+    shutil.rmtree(f"{folder}/streams")
+    return read_archives(archives)
 
 
 ORACLE = """
