@@ -1,9 +1,9 @@
 import random
 
 import numpy as np
-from tests.llm.helpers import none, odd, rows, words
+from tests.llm.helpers import none, odd, rows
 
-from xylem.llm import packing
+from xylem.llm import bpe, packing
 
 
 def check(bins, offsets, sizes, lengths, permitted):
@@ -50,37 +50,57 @@ def test_pack_is_valid_and_no_worse_than_one_size():
         check(*packing.pack(n), n, packing.CAPACITIES)
 
 
-def lossless(got, texts):
+def plainly(lengths, permitted, size):
+    """Best fit by going through all open bins, of equal room the last used; None: the size with the least cost for what it can hold."""
+    down, bins = sorted(lengths, reverse=True), []
+    for k, n in enumerate(down):
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            best = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
+            best[1:] = best[1] + n, k
+            continue
+        able = [s for s in permitted if s >= max(n, size or 0)]
+        holds = lambda s: n + min(s - n, sum(x for x in down[k + 1 :] if x <= s - n))  # noqa: B023, E731
+        bins.append([min(able, key=lambda s: packing.sequence_cost(s) / holds(s)) if size is None else able[0], n, k])
+    return [min(s for s in permitted if s >= used) for _, used, _ in bins], sorted(used for _, used, _ in bins)
+
+
+def test_pack_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 10, 120, 300):
+        for permitted in ((512, 1024, 2048, 4096), (100, 4096), (4096,)):
+            lengths = np.minimum(rng.geometric(0.002, n), 4096)
+            bins, _, sizes = packing.pack(lengths, permitted)
+            used = sorted(np.bincount(bins, weights=lengths).astype(int).tolist())
+            plans = [plainly(lengths.tolist(), permitted, s) for s in ((None, *permitted) if len(permitted) > 1 else permitted)]
+            costs = [sum(map(packing.sequence_cost, p[0])) for p in plans]
+            assert abs(sum(map(packing.sequence_cost, sizes)) - min(costs)) < 1e-6
+            assert any(used == p[1] for p, c in zip(plans, costs, strict=True) if c - min(costs) < 1e-6)
+
+
+def together(got, permitted=packing.CAPACITIES):
+    """Document -> lists of (start, ids); checks each sequence."""
     parts = {}
     for r in got:
-        parts.setdefault(r.doc_id, []).append((r.start, r.n_tokens))
-    for i, text in texts.items():
-        n, own = len(words(text)), sorted(parts[i])
-        assert sum(p[1] for p in own) % max(n, 1) == 0 and (n > 0 or own[0] == (0, 0))
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.capacity == min(c for c in permitted if c >= r.n_tokens)
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and r.resets == r.cu_seqlens[:-1] and (ids[r.n_tokens :] == packing.PAD).all()
+        for k, (doc, start) in enumerate(zip(r.doc_ids, r.doc_starts, strict=True)):
+            parts.setdefault(doc, []).append((start, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
+    return {d: [t for _, p in sorted(x) for t in p] for d, x in parts.items()}
 
 
 def test_odd_rows(spark):
-    got = packing.packed(odd(spark)).collect()
-    lossless(got, {r[0]: r[1] for r in rows() if r[0] not in (2, None)})
-    assert all((r.bin_id is None) == (r.n_tokens == 0) for r in got)
-    spans = {}
-    for r in got:
-        if r.bin_id is not None:
-            spans.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.n_tokens))
-    assert len({b for b, _ in spans}) == len(spans)
-    for (_, capacity), own in spans.items():
-        end = 0
-        for o, n in sorted(own):
-            assert o == end
-            end += n
-        assert capacity == min(c for c in packing.CAPACITIES if c >= end)
-    assert sum(r.doc_id == 2 for r in got) == 2
+    encoding = bpe.encoder(bpe.read_ranks())
+    unique = odd(spark).dropDuplicates(["doc_id", "text"]).where("doc_id IS NOT NULL")
+    assert together(packing.packed(unique).collect()) == {r[0]: encoding.encode_ordinary(r[1]) for r in rows() if r[0] is not None and r[1]}
+    assert sum(r.n_tokens for r in packing.packed(odd(spark)).collect()) == sum(len(encoding.encode_ordinary(r[1] or "")) for r in rows())
+    assert packing.packed(none(spark)).count() == 0
 
 
-def test_groups_and_empty(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for group in (1, 50, 10**6):
+def test_groups(spark, sf):
+    docs, encoding = spark.read.parquet(f"{sf}/documents.parquet"), bpe.encoder(bpe.read_ranks())
+    expected = {r.doc_id: encoding.encode_ordinary(r.text) for r in docs.collect() if r.text}
+    for group in (1, 50_000, 10**9):
         got = packing.packed(docs, group=group).collect()
-        assert sum(r.n_tokens for r in got) == sum(len(words(r.text)) for r in docs.collect())
-        assert len({(r.bin_id, r.capacity) for r in got if r.n_tokens}) == len({r.bin_id for r in got if r.n_tokens})
-    assert packing.packed(none(spark)).count() == 0
+        assert together(got) == expected and len({r.seq_id for r in got}) == len(got)

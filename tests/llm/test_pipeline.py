@@ -1,10 +1,11 @@
 import corpus_pipeline
 from tests.llm.helpers import none, odd, rows, words
 from tests.llm.test_decontam import brute as leaks
+from tests.llm.test_packing import together
 from tests.llm.test_quality import brute as measures
 from tests.llm.test_simhash import components, fingerprint
 
-from xylem.llm import langid
+from xylem.llm import bpe, langid
 from xylem.llm.common import materialise
 
 
@@ -35,10 +36,8 @@ def test_stages_equal_brute_force(spark, sf):
         elif name == "decontamination":
             assert after == {i for i, _ in before} - {d for d, _ in leaks(before, items)}
         else:
-            total = {}
-            for r in out.collect():
-                total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
-            assert total == {i: len(words(t)) for i, t in before}
+            encoding = bpe.encoder(bpe.read_ranks())
+            assert together(out.collect()) == {i: encoding.encode_ordinary(t) for i, t in before}
         docs = out
 
 

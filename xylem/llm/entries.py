@@ -17,7 +17,7 @@ def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.packed(table(spark, sf_dir, "documents"))
+    return tokens.matrices(table(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

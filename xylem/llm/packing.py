@@ -1,17 +1,17 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted. Longest pieces are placed first, each into the open bin with
-the least room that fits. If none fits, a bin is opened: its size is the one with the least cost for
-each token it can be expected to hold, given what is still to be placed. That plan competes with the
-plans that always open one fixed size; the plan with the least total cost wins. At last every bin
-shrinks to the smallest permitted length that holds its contents.
-
-Bins are packed within groups of at most GROUP pieces of one input partition, so nothing is shuffled,
-memory is bounded and a retried task packs alike. Texts longer than the largest length are split
-without loss: full pieces and a rest.
-
-Defined cases: a text without tokens (null, empty, blank) gets one row with n_tokens 0 and no bin;
-repeated rows are packed each; ties are placed in input order.
+Texts are encoded to token ids. Several sequence lengths are permitted. Longest pieces are placed first,
+each into the open bin with the least room that fits. If none fits, a bin is opened: its size is the one
+with the least cost for each token it can be expected to hold, given what is still to be placed. That
+plan competes with the plans that always open one fixed size; the plan with the least total cost wins.
+At last every bin shrinks to the smallest permitted length that holds its contents.
+
+Bins are packed within groups of about GROUP tokens of one input partition, so nothing is shuffled,
+memory is bounded and a retried task packs alike; which texts share a sequence depends on the input
+splits. Texts longer than the largest length are split without loss: full pieces and a rest.
+
+Defined cases: a text without tokens (null, empty) has no segment; repeated rows are packed each; ties
+are placed in input order; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from xylem.llm.common import whole_text, words
+from xylem.llm import bpe
+from xylem.llm.common import slices, whole_text
 
 CAPACITIES = (512, 1024, 2048, 4096)
-GROUP = 50_000
+GROUP = 1 << 21
+PAD = 50256
 
 
 def sequence_cost(capacity: int) -> float:
@@ -109,7 +110,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
         return lambda _, n: next(s for s in sizes if s >= max(n, size))
 
     least = None
-    for choose in (adaptive, *map(fixed, sizes)):
+    for choose in (adaptive, *map(fixed, sizes)) if len(sizes) > 1 else (fixed(sizes[0]),):
         bins, offsets, used = _plan(down.tolist(), choose, sizes[-1])
         shrunk = np.array(sizes)[np.searchsorted(sizes, used)]
         total = float(sum(cost(int(s)) * n for s, n in zip(*np.unique(shrunk, return_counts=True), strict=True)))
@@ -121,46 +122,71 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
     return out_bins, out_offsets, shrunk
 
 
-def pieces_of(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, piece number and start of the pieces of texts of so many tokens; a text without tokens has one piece."""
-    count = np.maximum(-(-tokens // most), 1)
-    row = np.repeat(np.arange(len(tokens)), count)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, number, number * most
+def pieces_of(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and start of the pieces of texts of so many tokens; a text without tokens has none."""
+    count = -(-tokens // most)
+    text = np.repeat(np.arange(len(tokens)), count)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * most
 
 
-def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group: int = GROUP) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, n_tokens, bin_id, bin_offset, capacity. A token is a word."""
-    held = docs.select("doc_id", F.size(words(whole_text())).cast("long").alias("n"))
-    long = T.LongType()
-    schema = T.StructType([held.schema[0], *[T.StructField(c, long) for c in ("piece", "start", "n_tokens", "bin_id", "bin_offset", "capacity")]])
-    most = max(capacities)
+#: Columns of a packed sequence, but for the list of doc_ids, whose type is that of the input.
+COLUMNS = "seq_id long, capacity int, n_tokens long, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<{doc}>, doc_starts array<long>"
+NAMES = ["seq_id", "capacity", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "doc_starts"]
+
 
-    def one(ids: pa.Array, tokens: np.ndarray, base: int) -> tuple[pa.RecordBatch, int]:
-        row, number, start = pieces_of(tokens, most)
-        length = np.minimum(tokens[row] - start, most)
-        some = np.flatnonzero(length)
-        bins, offsets, sizes = pack(length[some], capacities) if len(some) else (np.empty(0, np.int64),) * 3
-        bin_id, offset, size = (np.full(len(row), -1, np.int64) for _ in range(3))
-        if len(some):
-            bin_id[some], offset[some], size[some] = base + bins, offsets, sizes[bins]
-        placed = [pa.array(x, mask=x < 0) for x in (bin_id, offset, size)]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *map(pa.array, (number, start, length)), *placed], names=schema.names), base + len(sizes)
+def sequences(doc: pa.Array, count: np.ndarray, ids: np.ndarray, capacities: tuple[int, ...], pad: int, kind: str, base: int) -> pa.RecordBatch:
+    """Pack the ids of texts (`count` ids each, one after the other) and lay the sequences out."""
+    most = max(capacities)
+    text, start = pieces_of(count, most)
+    n = np.minimum(count[text] - start, most)
+    bins, offsets, sizes = pack(n, capacities) if len(n) else (np.empty(0, np.int64),) * 3
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = np.full(int(ends[-1]), pad, kind)
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    flat[np.repeat(ends[bins] + offsets, n) + inside] = ids[np.repeat((np.cumsum(count) - count)[text] + start, n) + inside]
+    order = np.lexsort((offsets, bins))
+    bins, offsets, text, start, n = (x[order] for x in (bins, offsets, text, start, n))
+    edges = np.searchsorted(bins, np.arange(len(sizes) + 1))
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+    ends_in = np.insert(offsets + n, edges[:-1], 0)
+    places = (ends * flat.itemsize).astype(np.int32)
+    columns = [
+        pa.array(base + np.arange(len(sizes)), pa.int64()),
+        pa.array(sizes, pa.int32()),
+        pa.array(np.add.reduceat(n, edges[:-1]) if len(sizes) else n, pa.int64()),
+        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(flat)]),
+        pa.ListArray.from_arrays(pa.array(edges + np.arange(len(edges)), pa.int32()), pa.array(ends_in, pa.int32())),
+        lists(pa.array(offsets, pa.int32())),
+        lists(doc.take(pa.array(text))),
+        lists(pa.array(start, pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
+def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ranks: str = bpe.RANKS, pad: int = PAD, group: int = GROUP) -> DataFrame:
+    """One row for each sequence: seq_id, capacity, n_tokens, ids, cu_seqlens, resets, doc_ids, doc_starts.
+
+    ids: `capacity` little-endian uint16 (uint32 if an id needs it), filled up with `pad`; cu_seqlens: 0
+    and the end of each segment; resets: the places where positions start at 0; doc_starts: a segment's
+    place in its document.
+    """
+    held = docs.select("doc_id", whole_text().alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, waiting, count = TaskContext.get().partitionId() << 32, [], 0
+        encoding = bpe.encoder(shared.value)
+        kind = "<u2" if max(encoding.max_token_value, pad) < 1 << 16 else "<u4"
+        base, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        whole = lambda: sequences(pa.concat_arrays([w[0] for w in waiting]), *(np.concatenate([w[k] for w in waiting]) for k in (1, 2)), capacities, pad, kind, base)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                piece = batch.slice(a, 1000)
-                waiting.append(piece)
-                count += int(np.maximum(-(-piece.column(1).to_numpy() // most), 1).sum())
-                if count >= group:
-                    whole = pa.Table.from_batches(waiting).combine_chunks()
-                    out, base = one(whole["doc_id"].combine_chunks(), whole["n"].to_numpy(), base)
-                    waiting, count = [], 0
+            for part in slices(batch, "text", 8 << 20):
+                waiting.append((part.column(0), *bpe.encoded(encoding, part.column(1))))
+                size += len(waiting[-1][2])
+                if size >= group:
+                    out = whole()
+                    base, waiting, size = base + out.num_rows, [], 0
                     yield out
         if waiting:
-            whole = pa.Table.from_batches(waiting).combine_chunks()
-            yield one(whole["doc_id"].combine_chunks(), whole["n"].to_numpy(), base)[0]
+            yield whole()
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(run, COLUMNS.format(doc=dict(held.dtypes)["doc_id"]))

@@ -6,211 +6,103 @@ over the rooms finds it), and each row is written as little-endian ids filled up
 with the cumulative segment lengths, the places where positions start again at 0 and the document
 and start of each segment, so that every document can be put together again.
 
-Rows are packed within groups of about GROUP tokens of one input partition: no shuffle, bounded
-memory. The tokenizer's file is read by the driver and broadcast (its size is checked); its path is a
-parameter.
+Rows are packed within groups of input partitions as in packing.py: no shuffle, bounded memory. Files
+are in the mounted shared folder; each attempt of a task writes files of its own and renames them into
+place when whole, all attempts write the same bytes. The query's rows are read back from the files.
 
-Encoding: words between single blanks are encoded once for each distinct word of a batch. That equals
-encoding the text at once as no piece of the pattern spans a blank between two non-blank characters;
-texts with other runs of white space next to a blank are encoded whole.
-
-Defined cases: a null or empty text has no tokens and no segment; repeated rows are packed each.
+Defined cases: a null or empty text has no tokens and no segment; repeated rows are packed each; ties are
+placed in input order; very long texts fill many rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from xylem.llm.common import mounted_dir, slices
-from xylem.llm.packing import _plan, pieces_of
-
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pattern that the vocabulary was made with.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LENGTH, PAD, GROUP, MOST_RANKS_BYTES = 2048, 50256, 1 << 21, 64 << 20
-
-_ENCODERS: dict[str, tiktoken.Encoding] = {}
-
 
-def encoder(ranks: bytes) -> tiktoken.Encoding:
-    key = hashlib.sha256(ranks).hexdigest()
-    if key not in _ENCODERS:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-    return _ENCODERS[key]
+from xylem.llm import bpe, packing
+from xylem.llm.common import materialise, mounted_dir
 
+LENGTH = 2048
+SUFFIXES = ("ids.bin", "cu.bin", "resets.bin", "rows.bin", "docs.arrow")
 
-def read_ranks(path: str = RANKS) -> bytes:
-    if os.path.getsize(path) > MOST_RANKS_BYTES:
-        raise ValueError(f"{path} is larger than {MOST_RANKS_BYTES} bytes; it would be broadcast")
-    with open(path, "rb") as f:
-        return f.read()
 
-
-def _pieces(encoding: tiktoken.Encoding, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, ids of each piece): one call over the pieces joined by line ends.
-
-    A line end before a blank or a visible character is a token of its own, so the joined text encodes
-    as its pieces do. Pieces that hold white space besides a first blank are encoded alone.
-    """
-    mark = encoding.encode_ordinary("\n")
-    plain = [k for k, p in enumerate(pieces) if len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and not (p[0].isspace() and p[0] != " ")]
-    size, parts = np.zeros(len(pieces), np.int64), [np.empty(0, np.int64)] * len(pieces)
-    if plain and len(mark) == 1:
-        ids = encoding.encode_to_numpy("\n".join([pieces[k] for k in plain]), disallowed_special=()).astype(np.int64)
-        cuts = np.flatnonzero(ids == mark[0])
-        begins, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-        size[plain] = ends - begins
-    else:
-        plain, ids = [], np.empty(0, np.int64)
-    alone = np.ones(len(pieces), bool)
-    alone[plain] = False
-    if not alone.any():
-        return ids[ids != mark[0]], size
-    for k in np.flatnonzero(alone).tolist():
-        parts[k] = np.array(encoding.encode_ordinary(pieces[k]), np.int64)
-        size[k] = len(parts[k])
-    flat, start = np.empty(int(size.sum()), np.int64), np.cumsum(size) - size
-    n = size[plain]
-    if len(plain):
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        flat[np.repeat(start[plain], n) + inside] = ids[ids != mark[0]]
-    for k in np.flatnonzero(alone).tolist():
-        flat[start[k] : start[k] + size[k]] = parts[k]
-    return flat, size
-
-
-def encoded(encoding: tiktoken.Encoding, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each text, all ids)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    # a blank next to another white-space character, or at an end: such texts are encoded whole
-    whole = pc.match_substring_regex(texts, r"(?: [\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |^ | $)").to_numpy(zero_copy_only=False)
-    spaced = np.flatnonzero(~whole)
-    lists = pc.split_pattern(texts.take(pa.array(spaced)), " ")
-    offsets = lists.offsets.to_numpy()
-    coded = lists.values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy().astype(np.int64)
-    # the first word of a text has no blank before it
-    first = np.zeros(len(index), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    kinds, kind = np.unique(index * 2 + first, return_inverse=True)
-    flat, size = _pieces(encoding, [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in kinds.tolist()])
-    start = np.cumsum(size) - size
-    each = size[kind]
-    at = np.repeat(start[kind] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    spaced_ids, filled = flat[at], np.concatenate([[0], np.cumsum(each)])
-    count = np.zeros(len(texts), np.int64)
-    count[spaced] = np.diff(filled[offsets])
-    if not whole.any():
-        return count, spaced_ids
-    parts, begin = [None] * len(texts), filled[offsets]
-    for k, row in enumerate(spaced.tolist()):
-        parts[row] = spaced_ids[begin[k] : begin[k + 1]]
-    for row in np.flatnonzero(whole).tolist():
-        parts[row] = np.array(encoding.encode_ordinary(texts[row].as_py()), np.int64)
-        count[row] = len(parts[row])
-    return count, np.concatenate(parts)
-
-
-def packed_rows(count: np.ndarray, ids: np.ndarray, length: int, pad: int, kind: str):
-    """Matrix rows of one group: for each row its ids, and for each segment its text's place, start, offset and length."""
-    text, _, start = pieces_of(count, length)
-    size = np.minimum(count[text] - start, length)
-    some = np.flatnonzero(size)
-    text, start, size = text[some], start[some], size[some]
-    order = np.argsort(-size, kind="stable")
-    bins, offsets, used = _plan(size[order].tolist(), lambda _, n: length, length)
-    bins, offsets = np.array(bins, np.int64), np.array(offsets, np.int64)
-    matrix = np.full((len(used), length), pad, kind)
-    source = (np.cumsum(count) - count)[text[order]] + start[order]
-    n = size[order]
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    matrix.ravel()[np.repeat(bins * length + offsets, n) + inside] = ids[np.repeat(source, n) + inside]
-    by_row = np.lexsort((offsets, bins))
-    return matrix, bins[by_row], text[order][by_row], start[order][by_row], offsets[by_row], n[by_row]
-
-
-def packed(docs: DataFrame, ranks: str = RANKS, length: int = LENGTH, pad: int = PAD, group: int = GROUP) -> DataFrame:
-    """One row for each matrix row: seq_id, n_tokens, ids, cu_seqlens, resets, doc_ids, doc_starts.
-
-    ids: `length` little-endian uint16 (uint32 if an id needs it); cu_seqlens: 0 and the end of each
-    segment; resets: the places where positions start at 0; doc_starts: a segment's place in its document.
-    """
-    held = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
-    doc_kind = dict(held.dtypes)["doc_id"]
-    names = ["seq_id", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "doc_starts"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(shared.value)
-        kind = "<u2" if max(encoding.max_token_value, pad) < 1 << 16 else "<u4"
-        seq = TaskContext.get().partitionId() << 32
-        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal seq
-            doc = pa.concat_arrays([w[0] for w in waiting])
-            count, ids = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
-            matrix, row, text, start, offset, n = packed_rows(count, ids, length, pad, kind)
-            if not len(matrix):
-                return
-            edges = np.searchsorted(row, np.arange(len(matrix) + 1))
-            used = np.add.reduceat(n, edges[:-1])
-            lists = lambda values: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
-            ends = np.insert(offset + n, edges[:-1], 0)
-            cu = pa.ListArray.from_arrays(pa.array(edges + np.arange(len(edges)), pa.int32()), pa.array(ends, pa.int32()))
-            columns = [pa.array(seq + np.arange(len(matrix))), pa.array(used, pa.int64()), pa.array([r.tobytes() for r in matrix], pa.binary()), cu, lists(pa.array(offset, pa.int32())), lists(doc.take(pa.array(text))), lists(pa.array(start, pa.int64()))]
-            seq += len(matrix)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                waiting.append((part.column(0), *encoded(encoding, part.column(1))))
-                if sum(len(w[2]) for w in waiting) >= group:
-                    yield from rows()
-                    waiting.clear()
-        if waiting:
-            yield from rows()
-
-    return held.mapInArrow(run, f"seq_id long, n_tokens long, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<{doc_kind}>, doc_starts array<long>")
+def packed(docs: DataFrame, ranks: str = bpe.RANKS, length: int = LENGTH, pad: int = packing.PAD, group: int = packing.GROUP) -> DataFrame:
+    """One row for each matrix row: the columns of packing.packed without the capacity, which is `length`."""
+    return packing.packed(docs, (length,), ranks, pad, group).drop("capacity")
 
 
 def write_matrices(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """Write each partition of packed rows as raw files in the mounted shared folder; (path, rows).
 
     <path>.ids.bin: the id matrix; <path>.cu.bin and <path>.resets.bin: int32, all rows joined;
-    <path>.rows.bin: int64 pairs, the ends of each row in those two.
+    <path>.rows.bin: int64 pairs, the ends of each row in those two; <path>.docs.arrow: an Arrow stream
+    of seq_id, n_tokens, doc_ids and doc_starts.
     """
     folder = folder or mounted_dir(rows.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, own = f"{folder}/part-{TaskContext.get().partitionId():06d}", f".{TaskContext.get().taskAttemptId()}"
-        ends, n, suffixes = [0, 0], 0, ("ids.bin", "cu.bin", "resets.bin", "rows.bin")
-        files = [open(f"{path}.{s}{own}", "wb") for s in suffixes]  # noqa: SIM115
+        path, own = f"{folder}/part-{TaskContext.get().partitionId():06d}", f".{uuid.uuid4().hex}"
+        ends, n, docs = np.zeros(2, np.int64), 0, None
+        files = [open(f"{path}.{s}{own}", "wb") for s in SUFFIXES]  # noqa: SIM115
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, cu, resets = (batch.column(c)[k].as_py() for c in (2, 3, 4))
-                files[0].write(ids)
-                files[1].write(np.array(cu, "<i4").tobytes())
-                files[2].write(np.array(resets, "<i4").tobytes())
-                ends = [ends[0] + len(cu), ends[1] + len(resets)]
-                files[3].write(np.array(ends, "<i8").tobytes())
-                n += 1
-        for f, s in zip(files, suffixes, strict=True):
+            for ids in batch.column("ids"):
+                files[0].write(ids.as_buffer())
+            sizes = []
+            for k, name in ((1, "cu_seqlens"), (2, "resets")):
+                column = batch.column(name)
+                files[k].write(column.flatten().to_numpy().astype("<i4").tobytes())
+                sizes.append(column.value_lengths().to_numpy())
+            each = ends + np.cumsum(np.stack(sizes, axis=1), axis=0)
+            files[3].write(each.astype("<i8").tobytes())
+            ends = each[-1] if len(each) else ends
+            kept = batch.select(["seq_id", "n_tokens", "doc_ids", "doc_starts"])
+            docs = docs or pa.ipc.new_stream(files[4], kept.schema)
+            docs.write_batch(kept)
+            n += batch.num_rows
+        if docs:
+            docs.close()
+        for f, s in zip(files, SUFFIXES, strict=True):
             f.close()
-            os.replace(f.name, f"{path}.{s}")
-        yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([n], pa.int64())})
+            if n:
+                os.replace(f.name, f"{path}.{s}")
+            else:
+                os.remove(f.name)
+        if n:
+            yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([n], pa.int64())})
 
     return rows.mapInArrow(run, "path string, rows long")
+
+
+def read_matrices(written: DataFrame, doc_type: str = "bigint", length: int = LENGTH) -> DataFrame:
+    """The packed rows of written files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.memmap(f"{path}.ids.bin", np.uint8, "r").reshape(rows, -1)
+                if ids.shape[1] not in (2 * length, 4 * length):
+                    raise ValueError(f"{path}: {rows} rows of {length} ids were written")
+                cu, resets = (np.fromfile(f"{path}.{s}", "<i4") for s in ("cu.bin", "resets.bin"))
+                ends = np.concatenate([np.zeros((1, 2), np.int64), np.fromfile(f"{path}.rows.bin", "<i8").reshape(-1, 2)])
+                at = 0
+                with pa.OSFile(f"{path}.docs.arrow") as source:
+                    for docs in pa.ipc.open_stream(source):
+                        own = ends[at : at + docs.num_rows + 1]
+                        part = lambda values, k: pa.ListArray.from_arrays(pa.array(own[:, k] - own[0, k], pa.int32()), pa.array(values[own[0, k] : own[-1, k]], pa.int32()))  # noqa: B023, E731
+                        places = np.arange(docs.num_rows + 1, dtype=np.int32) * ids.shape[1]
+                        matrix = pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(places), pa.py_buffer(np.array(ids[at : at + docs.num_rows]))])
+                        yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), matrix, part(cu, 0), part(resets, 1), docs.column(2), docs.column(3)], names=[n for n in packing.NAMES if n != "capacity"])
+                        at += docs.num_rows
+
+    return written.repartition(max(1, written.count())).mapInArrow(run, packing.COLUMNS.format(doc=doc_type).replace("capacity int, ", ""))
+
+
+def matrices(docs: DataFrame, ranks: str = bpe.RANKS, length: int = LENGTH) -> DataFrame:
+    """Pack, write and read back."""
+    return read_matrices(materialise(write_matrices(packed(docs, ranks, length)), "matrices"), dict(docs.dtypes)["doc_id"], length)
