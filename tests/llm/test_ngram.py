@@ -47,21 +47,22 @@ def brute(rows):
             c2.update(zip(s, s[1:], strict=False))
             c3.update(zip(s, s[1:], s[2:], strict=False))
     n, v = sum(c1.values()), len(c1)
-    k2, k3 = ({x: c for x, c in k.items() if c >= 2} for k in (c2, c3))
+    d2, d3 = (ngram.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (c2, c3))
     s2, s3 = defaultdict(float), defaultdict(float)
-    for (a, _), c in k2.items():
-        s2[a] += c - 0.5
-    for (a, b, _), c in k3.items():
-        s3[a, b] += c - 0.5
+    for (a, _), c in c2.items():
+        s2[a] += c - d2[min(c, 3)]
+    for (a, b, _), c in c3.items():
+        s3[a, b] += c - d3[min(c, 3)]
+    rest = lambda c, d: c - d[min(c, 3)]
 
     def p2(a, b):
         lower = (c1[b] + 1) / (n + v + 1)
-        return (k2.get((a, b), 0.5) - 0.5) / c1[a] + max(1 - s2[a] / c1[a], 1e-9) * lower if c1[a] else lower
+        return rest(c2[a, b], d2) / c1[a] + max(1 - s2[a] / c1[a], 1e-9) * lower if c1[a] else lower
 
     def p3(a, b, c):
-        if (a, b) not in k2:
+        if not c2[a, b]:
             return p2(b, c)
-        return (k3.get((a, b, c), 0.5) - 0.5) / c2[a, b] + max(1 - s3[a, b] / c2[a, b], 1e-9) * p2(b, c)
+        return rest(c3[a, b, c], d3) / c2[a, b] + max(1 - s3[a, b] / c2[a, b], 1e-9) * p2(b, c)
 
     out = []
     for i, w in tokens:
@@ -85,6 +86,25 @@ def test_scores_equal_brute_force(spark, sf):
     compare(ngram.scores(docs).collect(), brute([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_rounds_and_shards(spark, monkeypatch):
+    """Blocks merged in several rounds; more shards than shuffle partitions."""
+    for name, value in {"SLICE": 20_000, "FAN": 2, "SHARD_BYTES": 100_000}.items():
+        monkeypatch.setattr(ngram, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    compare(ngram.scores(docs).collect(), brute([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_discounts():
+    assert ngram.discounts([0, 0, 0, 0])[0] == 0 and (ngram.discounts([9, 0, 0, 0])[1:] > 0).all()
+    y = 100 / (100 + 2 * 40)
+    assert np.allclose(ngram.discounts([100, 40, 20, 12])[1:], [1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.6])
+
+
+def test_better_than_unigrams(spark, sf):
+    got = ngram.scores(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("held_out").agg({"base_score": "sum", "score": "sum"}).collect()
+    assert all(r["sum(score)"] > r["sum(base_score)"] for r in got)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     compare(ngram.scores(docs).collect(), brute([(r.doc_id, r.text) for r in docs.collect()]))

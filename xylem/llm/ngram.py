@@ -11,21 +11,23 @@ Levels, each in shards (one file a shard, in the mounted shared folder):
 Within a level the ids of all nodes form one rising sequence: each node's ids are shifted by the last
 value of the node before. A lookup reads two pointers and does one successor search in that range.
 
-Smoothing: add-one unigrams; above, absolute discounting by DISCOUNT interpolated with the lower
-order. Bigrams and trigrams seen fewer than MIN_COUNT times aren't stored; their mass goes to the
-back-off weight, which makes the stored distribution sum to one before quantisation (steps of
-1 / QUANTA in log10).
-
-Distribution: shards follow ranges of the word hash; their number is spark.sql.shuffle.partitions. One
-pass over the training texts counts each order. A task counts within SLICE bytes, sends each shard one
-block of sorted, delta-coded keys and the shard's task merges the blocks, builds the level and
-renames its file into place, so a repeated task writes the same file. The order-3 pass looks bigrams
-up in level 2 first and sends only keys that can be stored. Scoring is one map over all texts; only
-one row for each shard ever reaches the driver.
+Smoothing: add-one unigrams; above, interpolation with the lower order by absolute discounts for counts
+of one, two and more, reckoned for each order from how many n-grams were seen one to four times. Every
+n-gram is stored; the discounted mass goes to the back-off weight, which makes the distribution sum to
+one before quantisation (steps of 1 / QUANTA in log10).
+
+Distribution: shards follow ranges of the word hash; there are spark.sql.shuffle.partitions of them, or
+one for SHARD_BYTES of training text if that is more. One pass over the training texts counts each
+order. A task counts within SLICE bytes and sends each shard one block of sorted, delta-coded keys.
+Blocks of a shard are merged in rounds of about FAN, so no task takes more than that. When the counts of
+all shards stand and the discounts are known, a task for each shard builds its level. Files are renamed
+into place when whole, so a repeated task writes the same file. The order-3 pass looks bigrams up in level 2, which makes its keys context-relative. Scoring is one map over
+all texts; only one row for each shard ever reaches the driver.
 
 Defined cases: a null, empty or blank text is one end token; no training text at all gives N = 0 and
 V = 0, and every score equals the base; repeated rows count and are scored each time; a null doc_id
-is the text '' for the split.
+is the text '' for the split; very long texts are cut into no pieces (a slice holds at least one text);
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ from pyspark.sql import functions as F
 
 from xylem.llm.common import held_out, mounted_dir, slices, word_lists
 
-MIN_COUNT, DISCOUNT, QUANTA, SLICE = 2, 0.5, 4096, 8 << 20
+QUANTA, SLICE = 4096, 8 << 20
+SHARD_BYTES, FAN = 64 << 20, 256
 HASH_BITS = 63
 #: No word holds a blank, so this is nobody's.
 END = xxhash.xxh64_intdigest(b" ", 0) >> 1
@@ -427,51 +430,67 @@ def _trigram_blocks(texts: pa.Array, shards: int, folder: str) -> Iterator[tuple
         yield s, pack_keys(*_counted(keys[own]))
 
 
-def _build1(folder: str, shards: int, s: int, blocks) -> tuple[int, int]:
+def discounts(seen: list[int]) -> np.ndarray:
+    """Discount of a count of 1, 2 and more (at 1, 2, 3) from the numbers of n-grams seen 1, 2, 3 and 4 times."""
+    one, two = seen[:2]
+    y = one / (one + 2 * two) if one else 0.5
+    ratio = [seen[k + 1] / seen[k] if seen[k] else 0.5 for k in range(3)]
+    return np.array([0.0, *[min(max(k - (k + 1) * y * ratio[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]])
+
+
+def _build1(folder: str, s: int, blocks) -> tuple[int, ...]:
     hashes, counts = merged(blocks) if len(blocks) else (np.empty(0, np.int64),) * 2
     low, span = (int(hashes[0]), int(hashes[-1] - hashes[0])) if len(hashes) else (0, 0)
     parts = {f"hash.{k}": v for k, v in EliasFano.encode(hashes - low, span).items()}
     write_arrays(f"{folder}/1-{s}", parts | {"count": counts, "range": np.array([low, span], np.int64)})
-    return len(hashes), int(counts.sum())
+    return len(hashes), int(counts.sum()), 0, 0, 0, 0
 
 
-def _build2(folder: str, shards: int, s: int, blocks) -> tuple[int, int]:
-    trie = opened(folder)
+def _counts_kept(order: int):
+    def build(folder: str, s: int, blocks) -> tuple[int, ...]:
+        keys, counts = merged(blocks) if len(blocks) else (np.empty(0, np.int64),) * 2
+        write_arrays(f"{folder}/k{order}-{s}", {"keys": keys, "counts": counts.astype(np.int64)})
+        return len(keys), int(counts.sum()), *np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+
+    return build
+
+
+def _build2(folder: str, s: int, discount: np.ndarray) -> None:
+    trie, arrays = opened(folder), map_arrays(f"{folder}/k2-{s}")
     own = int(trie.base[s + 1] - trie.base[s])
-    keys, counts = merged(blocks) if len(blocks) else (np.empty(0, np.int64),) * 2
-    keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
+    keys, counts = np.asarray(arrays["keys"]), np.asarray(arrays["counts"])
     node, child = keys // max(trie.size, 1), keys % max(trie.size, 1)
     context = np.asarray(trie.level1(s)[1]["count"])
-    kept = np.bincount(node, weights=counts - DISCOUNT, minlength=own)
-    back = np.maximum(1 - kept / np.maximum(context, 1), 1e-9)
+    rest = counts - discount[np.minimum(counts, 3)]
+    back = np.maximum(1 - np.bincount(node, weights=rest, minlength=own) / np.maximum(context, 1), 1e-9)
     lower = 10 ** trie.unigram(trie.counts(child)[0])
-    prob = (counts - DISCOUNT) / context[node] + back[node] * lower
+    prob = rest / context[node] + back[node] * lower
     write_arrays(f"{folder}/b-{s}", {"back": quantise(np.log10(back))})
-    write_arrays(f"{folder}/n-{s}", {"count": counts.astype(np.int64)})
     Level.write(f"{folder}/2-{s}", own, node, child, np.log10(prob), np.empty(0))
-    return len(keys), int(counts.sum())
 
 
-def _build3(folder: str, shards: int, s: int, blocks) -> tuple[int, int]:
-    trie = opened(folder)
-    pair_count = np.asarray(map_arrays(f"{folder}/n-{s}")["count"])
-    keys, counts = merged(blocks) if len(blocks) else (np.empty(0, np.int64),) * 2
-    keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
+def _build3(folder: str, s: int, discount: np.ndarray) -> None:
+    trie, arrays = opened(folder), map_arrays(f"{folder}/k3-{s}")
+    pair_count = np.asarray(map_arrays(f"{folder}/k2-{s}")["counts"])
+    keys, counts = np.asarray(arrays["keys"]), np.asarray(arrays["counts"])
     parent, rank = keys >> 32, keys & 0xFFFFFFFF
-    kept = np.bincount(parent, weights=counts - DISCOUNT, minlength=len(pair_count))
-    back = np.maximum(1 - kept / np.maximum(pair_count, 1), 1e-9)
+    rest = counts - discount[np.minimum(counts, 3)]
+    back = np.maximum(1 - np.bincount(parent, weights=rest, minlength=len(pair_count)) / np.maximum(pair_count, 1), 1e-9)
     middle = trie.level(2, s).all()[1][parent]
     lower = np.zeros(len(keys))
     for o, at in trie.by_shard(trie.shard_of_id(middle)):
         level = trie.level(2, o)
         lower[at] = level.prob[level.pointers.get(middle[at] - trie.base[o]) + rank[at]] / -QUANTA
-    prob = (counts - DISCOUNT) / pair_count[parent] + back[parent] * 10**lower
+    prob = rest / pair_count[parent] + back[parent] * 10**lower
     Level.write(f"{folder}/3-{s}", len(pair_count), parent, rank, np.log10(prob), np.log10(back))
-    return len(keys), int(counts.sum())
 
 
-def _pass(docs: DataFrame, blocks, build, folder: str, shards: int) -> list[tuple[int, int]]:
-    """Count one order over docs and build its level; (entries, count) of each shard."""
+def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": pdf["shard"][:1], "part": pdf["part"][:1], "block": [pack_keys(*merged(pdf["block"]))]})
+
+
+def _pass(docs: DataFrame, blocks, build, folder: str, shards: int, parts: int) -> list[tuple[int, ...]]:
+    """Count one order over docs; (shard, entries, count, entries seen 1 to 4 times) of each shard. parts: slices, about."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,26 +499,48 @@ def _pass(docs: DataFrame, blocks, build, folder: str, shards: int) -> list[tupl
                 rows = list(blocks(part.column(0), shards, folder))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, total = build(folder, shards, int(key[0]), [b for b in pdf["block"] if len(b)])
-        return pd.DataFrame({"shard": [int(key[0])], "n": [n], "total": [total]})
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = build(folder, int(key[0]), [b for b in pdf["block"] if len(b)])
+        return pd.DataFrame([(int(key[0]), *got)], columns=["shard", "n", "total", "n1", "n2", "n3", "n4"])
 
+    counted = texts.mapInArrow(count, "shard int, block binary").withColumn("part", F.spark_partition_id())
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        counted = counted.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("shard", "part").applyInPandas(_combine, "shard int, part int, block binary")
     every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("block"))
-    counted = texts.mapInArrow(count, "shard int, block binary").unionByName(every)
-    rows = counted.groupBy("shard").applyInPandas(merge, "shard int, n long, total long").collect()
-    return [(r["n"], r["total"]) for r in sorted(rows, key=lambda r: r["shard"])]
+    rows = counted.select("shard", "block").unionByName(every).groupBy("shard").applyInPandas(merge, "shard int, n long, total long, n1 long, n2 long, n3 long, n4 long").collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def _level(docs: DataFrame, order: int, blocks, build, folder: str, shards: int, parts: int) -> None:
+    """Count an order, then build its level with the discounts of all shards."""
+    counted = _pass(docs, blocks, _counts_kept(order), folder, shards, parts)
+    discount = discounts([sum(r[k] for r in counted) for k in (3, 4, 5, 6)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                build(folder, s, discount)
+            yield batch
+
+    docs.sparkSession.range(0, shards, 1, shards).mapInArrow(run, "id long").count()
 
 
 def train(docs: DataFrame) -> str:
     """Build the trie of the texts in docs; returns its folder."""
     spark = docs.sparkSession
-    folder, shards = mounted_dir(spark, "ngram"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = _pass(docs, _unigram_blocks, _build1, folder, shards)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    folder, parts = mounted_dir(spark, "ngram"), -(-size // SLICE)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    own = _pass(docs, _unigram_blocks, _build1, folder, shards, parts)
     with open(f"{folder}/meta.part", "w") as f:
-        json.dump({"shards": shards, "words": [n for n, _ in own], "tokens": sum(t for _, t in own)}, f)
+        json.dump({"shards": shards, "words": [r[1] for r in own], "tokens": sum(r[2] for r in own)}, f)
     os.replace(f"{folder}/meta.part", f"{folder}/meta.json")
-    _pass(docs, _bigram_blocks, _build2, folder, shards)
-    _pass(docs, _trigram_blocks, _build3, folder, shards)
+    _level(docs, 2, _bigram_blocks, _build2, folder, shards, parts)
+    _level(docs, 3, _trigram_blocks, _build3, folder, shards, parts)
+    for s in range(shards):
+        os.remove(f"{folder}/k2-{s}")
+        os.remove(f"{folder}/k3-{s}")
     return folder
 
 
