@@ -53,3 +53,12 @@ def test_sql_counterpart(spark, sf):
     names = ["doc_id", "n_words", "n_repeat_words", "kept", "fail_bits"]
     got = by_key(quality.judged(spark.read.parquet(f"{sf}/documents.parquet")), *names)
     assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({quality.ORACLE})").fetchall(), key=repr)
+    ablations = quality.ablation(quality.stored(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert by_key(ablations, *ablations.columns) == sorted(con.execute(f"SELECT {', '.join(ablations.columns)} FROM ({quality.ABLATION_ORACLE})").fetchall(), key=repr)
+
+
+def test_bounds_are_passed(spark):
+    """Twenty words are enough; a share of exactly a quarter of symbols too."""
+    twenty = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, twenty), (2, twenty + " #$%&|"), (3, twenty + " #$%&| <"), (4, " ".join(twenty.split()[:19]))], "doc_id long, text string")
+    assert {r.doc_id: r.fail_bits for r in quality.judged(docs).collect()} == {1: 0, 2: 0, 3: quality.BIT["symbol_heavy"], 4: quality.BIT["few_words"]}

@@ -40,6 +40,11 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the stored bits of op8."""
+    return quality.ablation(quality.stored(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -59,10 +64,12 @@ QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_simhash": op9_simhash,
     "op10_best_fit": op10_best_fit,
+    "quality_ablation": quality_ablation,
 }
 
 ORACLE_SQL = {
     "op4_warc": warc.ORACLE,
     "op7_host_graph": hosts.oracle(),
     "op8_rule_ledger": quality.ORACLE,
+    "quality_ablation": quality.ABLATION_ORACLE,
 }

@@ -1,11 +1,13 @@
 """Rule bitmask ledger: every rule is evaluated once, policies and ablations read the stored bits.
 
 The ledger holds, for each document, the measurements and one failure bit for each rule. A policy is
-a named mask over those bits, so a new policy version or an ablation never reads texts again.
-Everything is one projection over the documents: no shuffle, no Python.
+a named mask over those bits, so a new policy version or an ablation never reads texts again. The
+ledger is written to the shared folder; policies and ablations read it there. It is one projection over
+the documents: no shuffle, no Python. An ablation shuffles one row for each bit pattern of a task.
 
-Defined cases: a null or blank text has no words, all measurements 0, and fails `few_words`; a
-repeated row gets a row each time; columns beyond doc_id and text are ignored.
+Defined cases: a null or blank text has no words, all measurements 0, and fails `few_words`; a very long
+text is measured whole; a value that ties with a rule's bound passes; a repeated row gets a row each time;
+columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import pinned, whole_text, words
+from xylem.llm.common import materialise, pinned, whole_text, words
 
 #: Words of a window that counts as repeated when the text holds it twice or more.
 WINDOW = 8
@@ -81,6 +83,11 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     return with_bits(measure(docs, text, keep))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written to the shared folder: doc_id, the measurements, fail_bits."""
+    return materialise(ledger(docs).select("held.doc_id", *MEASUREMENTS, "fail_bits"), "ledger")
+
+
 def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0
 
@@ -106,8 +113,8 @@ def ablation(ledger_rows: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """One row for each document: measurements, base_failed, kept, fail_bits, n_lines."""
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["v1"])) != 0
-    return ledger(docs).select(
-        "held.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return stored(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "fail_bits", "n_lines",
     )
 
@@ -135,3 +142,12 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits, n_lines::BIGINT AS n_lines FROM b
 """
+
+_BITS = ", ".join(f"('{name}', {bit})" for name, bit in BIT.items())
+_MASKS = ", ".join(f"('{name}', {mask})" for name, mask in POLICIES.items())
+#: Ablations by judging every document again without the rule.
+ABLATION_ORACLE = f"""
+WITH ledger AS ({ORACLE}), rules(rule, bit) AS (VALUES {_BITS}), policies(policy, mask) AS (VALUES {_MASKS})
+SELECT policy, rule, count(*) FILTER ((fail_bits & mask) = 0) AS kept, count(*) FILTER ((fail_bits & mask) = bit) AS only_this_rule,
+  count(*) FILTER ((fail_bits & mask & ~bit) = 0) AS kept_without FROM ledger, policies, rules WHERE (mask & bit) <> 0 GROUP BY policy, rule
+"""
