@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 from tests.llm.helpers import none, odd, rows
 
 from xylem.llm import langid
@@ -52,6 +54,47 @@ def test_held_out_accuracy(spark):
     assert langid.keep_known(docs).count() >= 290
 
 
+def test_sample_windows(spark, monkeypatch):
+    texts = ["1 " * 500 + "letters", "x", "αβγ " * 400, "abc " * 1000]
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:4]
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string")
+    got = langid.sample(docs)
+    assert 4 <= len(got) <= 16
+    assert all(0 < len(w) <= langid.WINDOW and any(c.isalpha() for c in w.decode(errors="ignore")) for _, w in got)
+    assert {lang for lang, _ in got} == {"aa"} and any(w.startswith(b"letters") for _, w in got)
+    many = docs.select("doc_id", "text", "doc_id").toDF("doc_id", "text", "lang")
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.sample(many)
+
+
+def test_network_forward_equals_plain_loops():
+    """A document's probabilities by plain Python loops over bytes, units and gates."""
+    rng = np.random.default_rng(3)
+    net = langid.Network(["a", "b", "c"], 2)
+    text = rng.integers(32, 127, 150).astype(np.uint8).tobytes()
+    sig = lambda a: 1 / (1 + math.exp(-a))
+
+    def states(window, d):
+        w, u, h, out = net.p[f"w{d}"], net.p[f"u{d}"], [0.0, 0.0], []
+        for byte in window if d == 0 else reversed(window):
+            dot = lambda g, j: sum(h[i] * float(u[g][i][j]) for i in range(2))  # noqa: B023, E731
+            z = [sig(float(w[0][byte][j]) + dot(0, j)) for j in range(2)]
+            r = [sig(float(w[1][byte][j]) + dot(1, j)) for j in range(2)]
+            n = [math.tanh(float(w[2][byte][j]) + r[j] * dot(2, j)) for j in range(2)]
+            h = [n[j] + z[j] * (h[j] - n[j]) for j in range(2)]
+            out.append(h)
+        return out if d == 0 else out[::-1]
+
+    total = [0.0] * 3
+    for a in range(0, len(text), langid.WINDOW):
+        window = text[a : a + langid.WINDOW]
+        for left, right in zip(states(window, 0), states(window, 1), strict=True):
+            e = [math.exp(sum(x * float(net.p["v"][i][k]) for i, x in enumerate(left + right)) + float(net.p["c"][k])) for k in range(3)]
+            total = [t + x / sum(e) for t, x in zip(total, e, strict=True)]
+    assert np.allclose(net.predict([text])[0], np.array(total) / len(text), atol=1e-4)
+
+
 def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.predictions(odd(spark)).collect()), key=repr)
     assert len(got) == len(rows())

@@ -1,16 +1,19 @@
 """Language identification: a bidirectional gated recurrent network over UTF-8 bytes.
 
 Training runs in numpy on the driver, by backpropagation through time, on a bounded sample: at most
-about PER_LANG documents of each language and one window of WINDOW_CHARS characters of each (a
-hash-chosen place, so the sample doesn't depend on row order). Every byte position is labelled with
-its document's language; languages weigh alike.
+about PER_LANG documents of each language, and of each the window from its first letter on and
+MORE_WINDOWS windows spread evenly over the text from a hash-chosen place, WINDOW bytes each. The sample
+doesn't depend on row order or layout. Every byte position is labelled with its document's language;
+languages weigh alike. The bound is on what the model is fitted to; there may be MOST_LANGS languages,
+more are refused.
 
 Prediction reads whole texts: the bytes are cut into windows of WINDOW bytes, the network labels
 every position of every window and the position probabilities are averaged over the document. Memory
 is bounded by a block of windows, however long a text is.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any training row
-every text is `und`; repeated rows each get a row; extra columns are kept or ignored as asked.
+every text is `und`; repeated rows each get a row; very long texts are read whole;
+of languages that tie the first by name wins; extra columns are kept or ignored as asked.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from xylem.llm.common import OWN, held_out, slices
 
-PER_LANG, WINDOW_CHARS, EPOCHS, HIDDEN, SEED = 400, 192, 10, 8, 7
+PER_LANG, MORE_WINDOWS, EPOCHS, HIDDEN, SEED, MOST_LANGS = 150, 3, 10, 8, 7, 1000
 #: A small sample is gone through more often, until there were so many steps.
 LEAST_STEPS = 250
 WINDOW, BLOCK, BATCH = 128, 4096, 64
@@ -201,20 +204,24 @@ def window_matrix(windows: list[bytes], steps: int) -> tuple[np.ndarray, np.ndar
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, bytes]]:
-    """At most about per_lang windows of each language, from labelled rows outside the held-out part."""
-    rows = docs.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col("lang").cast("string")).count().collect()}
+    """Windows of about per_lang texts of each language, from labelled rows outside the held-out part."""
+    has_letter = F.col("text").rlike(r"\p{L}")
+    rows = docs.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.coalesce(has_letter, F.lit(False)))
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col("lang").cast("string")).count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages in `lang`")
     if not counts:
         return []
     mix = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
     drawn = rows.where(F.pmod(mix, F.lit(1 << 20)) < share[F.col("lang").cast("string")] * (1 << 20))
-    last = F.greatest(F.char_length("text") - WINDOW_CHARS, F.lit(0)) + 1
-    place = (F.lit(1) + F.pmod(F.shiftrightunsigned(mix, 20), last)).cast("int")
-    window = F.substring("text", place, F.lit(WINDOW_CHARS))
-    got = drawn.select(mix.alias("m"), F.col("lang").cast("string").alias("lang"), window.alias("w")).where(F.col("w").rlike(r"\p{L}"))
-    got = got.orderBy("m", "lang", "w").limit(4 * per_lang * len(counts)).collect()
-    return [(r["lang"], r["w"].encode()) for r in got]
+    # characters of a window are at most its bytes; each place is that of the k-th part of the text
+    part = F.greatest(F.floor((F.char_length("text") - WINDOW) / MORE_WINDOWS), F.lit(0))
+    spread = [F.substring("text", (F.lit(1) + k * part + F.pmod(F.shiftrightunsigned(mix, 20), part + 1)).cast("int"), F.lit(WINDOW)) for k in range(MORE_WINDOWS)]
+    windows = F.array_distinct(F.filter(F.array(F.regexp_extract("text", rf"(?s)(\p{{L}}.{{0,{WINDOW - 1}}})", 1), *spread), lambda w: w.rlike(r"\p{L}")))
+    got = drawn.select(mix.alias("m"), F.col("lang").cast("string").alias("lang"), windows.alias("ws"))
+    got = got.orderBy("m", "lang", "ws").limit(4 * per_lang * len(counts)).collect()
+    return [(r["lang"], w.encode()[:WINDOW]) for r in got for w in r["ws"]]
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
@@ -224,7 +231,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
     langs = sorted({lang for lang, _ in rows})
     number = {lang: k for k, lang in enumerate(langs)}
     network = Network(langs)
-    network.fit([w[:WINDOW] for _, w in rows], np.array([number[lang] for lang, _ in rows]))
+    network.fit([w for _, w in rows], np.array([number[lang] for lang, _ in rows]))
     return network
 
 
