@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from xylem.llm.common import OWN, held_out, slices
 
-PER_LANG, MORE_WINDOWS, EPOCHS, HIDDEN, SEED, MOST_LANGS = 150, 3, 10, 8, 7, 1000
+PER_LANG, MORE_WINDOWS, EPOCHS, HIDDEN, SEED, MOST_LANGS = 300, 3, 6, 8, 7, 1000
 #: A small sample is gone through more often, until there were so many steps.
 LEAST_STEPS = 250
 WINDOW, BLOCK, BATCH = 128, 4096, 64
