@@ -32,6 +32,8 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
 import os
 import uuid
@@ -51,26 +53,40 @@ SHARD_BYTES, FAN = 64 << 20, 256
 HASH_BITS = 63
 #: No word holds a blank, so this is nobody's.
 END = xxhash.xxh64_intdigest(b" ", 0) >> 1
-POP8 = np.bitwise_count(np.arange(256, dtype=np.uint8))
-#: SELECT8[b, k]: place of the k-th one in byte b.
-SELECT8 = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.int64)
+#: SELECT8[8 * b + k]: place of the k-th one in byte b.
+SELECT8 = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.int64).ravel()
+#: Masks of every second bit, pair and nibble, and the lowest and highest bit of each byte.
+BITS, PAIRS, NIBBLES, LOW, HIGH = (np.uint64(int(x * (16 // len(x)), 16)) for x in ("5", "3", "0F", "01", "80"))
+
+
+def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one in each word; both uint64, k less than the ones of the word."""
+    one, two, four, seven, eight, top, byte = (np.uint64(n) for n in (1, 2, 4, 7, 8, 56, 255))
+    sums = x - ((x >> one) & BITS)
+    sums = (sums & PAIRS) + ((sums >> two) & PAIRS)
+    sums = ((sums + (sums >> four)) & NIBBLES) * LOW  # byte b: the ones of bytes 0 to b
+    place = (((((((k * LOW) | HIGH) - sums) & HIGH) >> seven) * LOW) >> top) * eight  # 8 for each byte that is passed
+    inside = k - (((sums << eight) >> place) & byte)
+    return place.astype(np.int64) + SELECT8[(((x >> place) & byte) * eight + inside).astype(np.int64)]
 
 
 class EliasFano:
-    """A non-decreasing sequence of n values from 0 to `most`; vectors of queries."""
+    """A non-decreasing sequence of n values from 0 to `most`; vectors of queries.
+
+    ones and zeros: how many of either stand before each word of the high bits.
+    """
 
-    def __init__(self, n: int, low_bits: int, high: np.ndarray, ones: np.ndarray, low: np.ndarray):
-        self.n, self.l, self.high, self.ones, self.low = n, low_bits, high.reshape(-1, 8), ones, low
-        self.zeros = 512 * np.arange(len(ones), dtype=np.int64) - ones
+    def __init__(self, n: int, low_bits: int, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+        self.n, self.l, self.high, self.ones, self.zeros, self.low = n, low_bits, high, ones, zeros, low
 
     @staticmethod
     def encode(values: np.ndarray, most: int) -> dict[str, np.ndarray]:
         values, n = values.astype(np.int64), len(values)
         low_bits = max(0, (most // n).bit_length() - 1) if n else 0
-        bits = np.zeros(-(-(n + (most >> low_bits) + 2) // 512) * 512, np.uint8)
+        bits = np.zeros(-(-(n + (most >> low_bits) + 2) // 64) * 64, np.uint8)
         bits[(values >> low_bits) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, 8).sum(axis=1, dtype=np.int64))])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         low = np.zeros(n * low_bits // 64 + 2, np.uint64)
         if low_bits and n:
             part = (values & ((1 << low_bits) - 1)).astype(np.uint64)
@@ -80,34 +96,23 @@ class EliasFano:
             low[word[first]] = np.add.reduceat(part << off, first)
             over = np.flatnonzero(off.astype(np.int64) + low_bits > 64)
             low[word[over] + 1] += part[over] >> (np.uint64(64) - off[over])
-        return {"head": np.array([n, low_bits], np.int64), "high": high, "ones": ones, "low": low}
+        return {"head": np.array([n, low_bits], np.int64), "high": high, "ones": ones, "zeros": 64 * np.arange(len(ones), dtype=np.int64) - ones, "low": low}
 
     @staticmethod
     def opened(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = arrays[f"{name}.head"].tolist()
-        return EliasFano(n, low_bits, arrays[f"{name}.high"], arrays[f"{name}.ones"], arrays[f"{name}.low"])
+        return EliasFano(n, low_bits, *(arrays[f"{name}.{k}"] for k in ("high", "ones", "zeros", "low")))
 
     def _select(self, i: np.ndarray, zero: bool) -> np.ndarray:
         """Place of the i-th one (or zero) of the high bits."""
         before = self.zeros if zero else self.ones
-        block = np.searchsorted(before, i, side="right") - 1
-        rest = i - before[block]
-        words = self.high[block]
-        if zero:
-            words = ~words
-        row = np.arange(len(i))
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
-        k = np.minimum((sums <= rest[:, None]).sum(axis=1), 7)
-        rest = rest - np.where(k > 0, sums[row, k - 1], 0)
-        octets = words[row, k].view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(POP8[octets], axis=1, dtype=np.int16)
-        o = np.minimum((sums <= rest[:, None]).sum(axis=1), 7)
-        rest = rest - np.where(o > 0, sums[row, o - 1], 0)
-        return block * 512 + k * 64 + o * 8 + SELECT8[octets[row, o], rest]
+        word = np.searchsorted(before, i, side="right") - 1
+        x = self.high[word]
+        return word * 64 + select_in_word(~x if zero else x, (i - before[word]).astype(np.uint64))
 
     def _ones_from(self, at: np.ndarray) -> np.ndarray:
         """Ones in a row from a place of the high bits on, 64 at most."""
-        high = self.high.ravel()
+        high = self.high
         word, off = at >> 6, (at & 63).astype(np.uint64)
         bits = ~((high[word] >> off) | ((high[np.minimum(word + 1, len(high) - 1)] << (np.uint64(63) - off)) << np.uint64(1)))
         return np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
@@ -161,7 +166,7 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     size = int.from_bytes(raw[:8].tobytes(), "little")
     base = -(-(8 + size) // 64) * 64
     return {k: raw[base + at : base + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(raw[8 : 8 + size].tobytes()).items()}
@@ -234,6 +239,12 @@ class Trie:
         self.base = np.concatenate([[0], np.cumsum(meta["words"])]).astype(np.int64)
         self.size = int(self.base[-1])
 
+    @functools.cached_property
+    def rank_bits(self) -> int:
+        """Bits of a place among the successors of a word; known once level 2 stands."""
+        with open(f"{self.folder}/ranks.json") as f:
+            return json.load(f)
+
     def _shard(self, name: str, make):
         if name not in self.cached:
             self.cached[name] = make(f"{self.folder}/{name}")
@@ -250,6 +261,7 @@ class Trie:
         return self._shard(f"{order}-{s}", Level)
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        shard = shard.astype(np.uint16) if self.shards < 1 << 16 else shard  # sorted by radix
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.unique(shard):
@@ -412,19 +424,19 @@ def distinct_bigrams(trie: Trie, ids: np.ndarray, lengths: np.ndarray, end: int)
     return before, out
 
 
-def trigram_keys(place: np.ndarray, rank: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trigram_keys(place: np.ndarray, rank: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens whose pair and the pair before are stored, and their keys: place of the pair before, rank among successors."""
     first = np.zeros(len(place), bool)
     first[np.cumsum(lengths) - lengths] = True
     at = np.flatnonzero(~first[1:] & (place[1:] >= 0) & (place[:-1] >= 0)) + 1
-    return at, place[at - 1] << 32 | rank[at]
+    return at, place[at - 1] << bits | rank[at]
 
 
 def _trigram_blocks(texts: pa.Array, shards: int, folder: str) -> Iterator[tuple[int, bytes]]:
     trie = opened(folder)
     ids, lengths, end = _known_tokens(trie, texts)
     _, (shard, place, rank, _) = distinct_bigrams(trie, ids, lengths, end)
-    at, keys = trigram_keys(place, rank, lengths)
+    at, keys = trigram_keys(place, rank, lengths, trie.rank_bits)
     of = shard[at - 1]
     for s, own in trie.by_shard(of):
         yield s, pack_keys(*_counted(keys[own]))
@@ -449,16 +461,22 @@ def _build1(folder: str, s: int, blocks) -> tuple[int, ...]:
 def _counts_kept(order: int):
     def build(folder: str, s: int, blocks) -> tuple[int, ...]:
         keys, counts = merged(blocks) if len(blocks) else (np.empty(0, np.int64),) * 2
-        write_arrays(f"{folder}/k{order}-{s}", {"keys": keys, "counts": counts.astype(np.int64)})
+        write_arrays(f"{folder}/k{order}-{s}", {"block": np.frombuffer(pack_keys(keys, counts) if len(keys) else b"", np.uint8)})
         return len(keys), int(counts.sum()), *np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
     return build
 
 
-def _build2(folder: str, s: int, discount: np.ndarray) -> None:
-    trie, arrays = opened(folder), map_arrays(f"{folder}/k2-{s}")
+def _kept(folder: str, order: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    block = map_arrays(f"{folder}/k{order}-{s}")["block"].tobytes()
+    return unpack_keys(block) if block else (np.empty(0, np.int64),) * 2
+
+
+def _build2(folder: str, s: int, discount: np.ndarray) -> int:
+    """Writes level 2; the most successors of a word."""
+    trie = opened(folder)
     own = int(trie.base[s + 1] - trie.base[s])
-    keys, counts = np.asarray(arrays["keys"]), np.asarray(arrays["counts"])
+    keys, counts = _kept(folder, 2, s)
     node, child = keys // max(trie.size, 1), keys % max(trie.size, 1)
     context = np.asarray(trie.level1(s)[1]["count"])
     rest = counts - discount[np.minimum(counts, 3)]
@@ -467,13 +485,15 @@ def _build2(folder: str, s: int, discount: np.ndarray) -> None:
     prob = rest / context[node] + back[node] * lower
     write_arrays(f"{folder}/b-{s}", {"back": quantise(np.log10(back))})
     Level.write(f"{folder}/2-{s}", own, node, child, np.log10(prob), np.empty(0))
+    return int(np.bincount(node).max()) if len(node) else 0
 
 
-def _build3(folder: str, s: int, discount: np.ndarray) -> None:
-    trie, arrays = opened(folder), map_arrays(f"{folder}/k3-{s}")
-    pair_count = np.asarray(map_arrays(f"{folder}/k2-{s}")["counts"])
-    keys, counts = np.asarray(arrays["keys"]), np.asarray(arrays["counts"])
-    parent, rank = keys >> 32, keys & 0xFFFFFFFF
+def _build3(folder: str, s: int, discount: np.ndarray) -> int:
+    """Writes level 3 and removes the counts, which are as large; a repeated task finds the level there."""
+    if os.path.exists(f"{folder}/3-{s}"):
+        return 0
+    trie, (keys, counts), pair_count = opened(folder), _kept(folder, 3, s), _kept(folder, 2, s)[1]
+    parent, rank = keys >> trie.rank_bits, keys & ((1 << trie.rank_bits) - 1)
     rest = counts - discount[np.minimum(counts, 3)]
     back = np.maximum(1 - np.bincount(parent, weights=rest, minlength=len(pair_count)) / np.maximum(pair_count, 1), 1e-9)
     middle = trie.level(2, s).all()[1][parent]
@@ -483,6 +503,9 @@ def _build3(folder: str, s: int, discount: np.ndarray) -> None:
         lower[at] = level.prob[level.pointers.get(middle[at] - trie.base[o]) + rank[at]] / -QUANTA
     prob = rest / pair_count[parent] + back[parent] * 10**lower
     Level.write(f"{folder}/3-{s}", len(pair_count), parent, rank, np.log10(prob), np.log10(back))
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(f"{folder}/k3-{s}")
+    return 0
 
 
 def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -512,18 +535,22 @@ def _pass(docs: DataFrame, blocks, build, folder: str, shards: int, parts: int)
     return sorted(tuple(r) for r in rows)
 
 
-def _level(docs: DataFrame, order: int, blocks, build, folder: str, shards: int, parts: int) -> None:
-    """Count an order, then build its level with the discounts of all shards."""
+def _level(docs: DataFrame, order: int, blocks, build, folder: str, shards: int, parts: int) -> int:
+    """Count an order, then build its level with the discounts of all shards; the largest number that a build returns."""
     counted = _pass(docs, blocks, _counts_kept(order), folder, shards, parts)
     discount = discounts([sum(r[k] for r in counted) for k in (3, 4, 5, 6)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                build(folder, s, discount)
-            yield batch
+            yield pa.RecordBatch.from_pydict({"most": pa.array([build(folder, s, discount) for s in batch.column(0).to_pylist()], pa.int64())})
+
+    return docs.sparkSession.range(0, shards, 1, shards).mapInArrow(run, "most long").agg(F.max("most")).first()[0]
 
-    docs.sparkSession.range(0, shards, 1, shards).mapInArrow(run, "id long").count()
+
+def _write_json(path: str, value) -> None:
+    with open(f"{path}.part", "w") as f:
+        json.dump(value, f)
+    os.replace(f"{path}.part", path)
 
 
 def train(docs: DataFrame) -> str:
@@ -533,14 +560,12 @@ def train(docs: DataFrame) -> str:
     folder, parts = mounted_dir(spark, "ngram"), -(-size // SLICE)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     own = _pass(docs, _unigram_blocks, _build1, folder, shards, parts)
-    with open(f"{folder}/meta.part", "w") as f:
-        json.dump({"shards": shards, "words": [r[1] for r in own], "tokens": sum(r[2] for r in own)}, f)
-    os.replace(f"{folder}/meta.part", f"{folder}/meta.json")
-    _level(docs, 2, _bigram_blocks, _build2, folder, shards, parts)
+    _write_json(f"{folder}/meta.json", {"shards": shards, "words": [r[1] for r in own], "tokens": sum(r[2] for r in own)})
+    most = _level(docs, 2, _bigram_blocks, _build2, folder, shards, parts)
+    _write_json(f"{folder}/ranks.json", max(1, most.bit_length()))
     _level(docs, 3, _trigram_blocks, _build3, folder, shards, parts)
     for s in range(shards):
         os.remove(f"{folder}/k2-{s}")
-        os.remove(f"{folder}/k3-{s}")
     return folder
 
 
@@ -560,11 +585,11 @@ def score_texts(trie: Trie, texts: pa.Array) -> dict[str, np.ndarray]:
     weight[1:] = _context_weights(trie, shard, place)[:-1]
     weight[starts] = 0.0
     total += weight
-    at, keys = trigram_keys(place, rank, lengths)
+    at, keys = trigram_keys(place, rank, lengths, trie.rank_bits)
     for s, own in trie.by_shard(shard[at - 1]) if len(at) else ():
         distinct, back = np.unique(keys[own], return_inverse=True)
         level = trie.level(3, s)
-        found, _ = level.find(distinct >> 32, distinct & 0xFFFFFFFF)
+        found, _ = level.find(distinct >> trie.rank_bits, distinct & ((1 << trie.rank_bits) - 1))
         hit = found[back] >= 0
         total[at[own[hit]]] = level.prob[found[back][hit]] / -QUANTA
     add = lambda x: np.add.reduceat(x, starts)
