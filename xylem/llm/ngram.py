@@ -331,8 +331,8 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes, number of each token among them, tokens of each text): words, then the end."""
     per_text, flat = word_lists(texts)
     coded = flat.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, 0) >> 1 for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] + [END], np.int64)
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.append((np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).astype(np.int64), END)
     ends = np.cumsum(per_text)
     tokens = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(hashes) - 1)
     return hashes, tokens, per_text + 1
