@@ -3,7 +3,7 @@ import warnings
 import pytest
 from pyspark.sql import types as T
 
-from tests.schemas import BASE, SHOP, TREE, XS
+from tests.schemas import FILES, TREE, XS
 from xylem import ConfigError, Model, SchemaError, parse_config
 from xylem.functions.names import key_name, link_name, short_name
 from xylem.plans.config import column_type
@@ -12,84 +12,104 @@ from xylem.plans.config import column_type
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     at = tmp_path_factory.mktemp("xsd")
-    (at / "shop.xsd").write_text(SHOP)
-    (at / "base.xsd").write_text(BASE)
+    for name, text in FILES.items():
+        (at / name).write_text(text)
     return at
 
 
-def model(folder, config=None, text=None, name="shop.xsd", short="DocumentRoot"):
-    if text:
-        (folder / name).write_text(f"<xs:schema {XS}>{text}</xs:schema>")
+def compiled(folder, config=None, schema=None, name="own.xsd", short="DocumentRoot"):
+    """The model of the library, or of the schema parts given."""
+    if schema is None:
+        name = "library.xsd"
+    else:
+        (folder / name).write_text(f"<xs:schema {XS}>{schema}</xs:schema>")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return Model(str(folder / name), short, config)
 
 
-def test_target_tree(folder):
-    assert model(folder).target_tree == TREE
+def names(folder, table, **config):
+    return [f.name for f in compiled(folder, config).table(table).fields]
 
 
-def test_source_tree_keeps_everything(folder):
-    tree = model(folder).source_tree
-    assert "company[0, 1] (choice):" in tree and "extra[0, 1]:" in tree and "name_attr[0, 1]: string" in tree
+def test_library_tree(folder):
+    assert compiled(folder).target_tree == TREE
 
 
-def test_warnings_for_what_is_dropped(folder):
+def test_source_tree_holds_what_the_target_drops(folder):
+    lines = compiled(folder).source_tree.split("\n")
+    assert lines[0] == "library:" and "        place[1, 1] (choice):" in lines and "        appendix[0, 1]:" in lines and "            life[0, 1]:" in lines
+
+
+def test_dropped_parts_are_told(folder):
     with pytest.warns(UserWarning) as told:
-        Model(str(folder / "shop.xsd"))
-    texts = [str(w.message) for w in told]
-    assert any("recursive" in t for t in texts) and any("xs:any" in t for t in texts)
-
-
-def test_schemas_and_names(folder):
-    m = model(folder)
-    schemas = m.schemas()
-    assert list(schemas) == ["feature", "item", "item_product_feature", "buyer", "order", "order_item", "shop", "shop_order"] or set(schemas) == {"feature", "item", "item_product_feature", "buyer", "order", "order_item", "shop", "shop_order"}
-    assert schemas["order_item"].names == ["fk_order", "fk_item"]
-    assert schemas["item"]["price"].dataType == T.DoubleType() and schemas["order"]["at"].dataType == T.TimestampType()
-    assert "ship_fk_buyer" in schemas["order"].names and schemas["shop"].names[-1] == "record_hash"
-    assert m.table("buyer").columns[4].ddl() == "VARCHAR(10)"
-    assert short_name("x" * 63) == "x" * 63 and len(short_name("x" * 64)) == 63
-    assert key_name("order_person", "person") == "fk_order_person" and key_name("ship", "person") == "ship_fk_person"
-    assert link_name("a", "big_b", "b") == "a_big_b" and link_name("a", "c", "b") == "a_c_b"
-
-
-def test_texts(folder):
-    m = model(folder, {"tables": {"item": {"reuse": False, "extra_args": [{"name": "ix"}]}}})
-    erd = m.erd()
-    assert 'order ||--|{ item : "item"' in erd and 'order ||--o| buyer : "ship"' in erd and 'item ||--o{ feature : "product_feature*"' in erd
-    assert "string-N phone" in erd
-    ddl = "\n".join(m.create_statements("db"))
-    assert "CREATE TABLE IF NOT EXISTS `db`.`item` (\n  `pk_item` BIGINT NOT NULL" in ddl and "`fk_parent_order` BIGINT" in ddl
-    assert {"table": "item", "extra": {"name": "ix"}} in m.index_hints()
-    assert m.groups()
+        Model(str(folder / "library.xsd"))
+    assert {str(w.message) for w in told} >= {"xs:any is ignored", "work.after is recursive and is dropped"}
+
+
+def test_tables_in_order_of_their_keys(folder):
+    schemas = compiled(folder).schemas()
+    assert set(schemas) == {"floor", "branch", "branch_floor", "creator", "copy", "work", "work_creator", "work_copy", "library", "library_branch", "library_work"}
+    order = list(schemas)
+    assert order.index("creator") < order.index("copy") < order.index("work") < order.index("library") and order.index("floor") < order.index("branch")
+    assert schemas["copy"].names == ["pk_copy", "fk_owner_creator", "worth", "pages", "lent", "state", "due", "record_hash"] or "owner_fk_creator" in schemas["copy"].names
+    kinds = {f.name: f.dataType for f in schemas["copy"]}
+    assert [kinds[n] for n in ("worth", "pages", "lent", "due")] == [T.DoubleType(), T.LongType(), T.BooleanType(), T.TimestampType()]
+    assert schemas["floor"]["level"].dataType == T.IntegerType() and schemas["creator"]["life_from"].dataType == T.ShortType()
+    assert {c.name: c.ddl() for c in compiled(folder).table("branch").columns}["code"] == "VARCHAR(6)"
+
+
+def test_long_names():
+    assert short_name("n" * 63) == "n" * 63
+    assert len(short_name("n" * 64)) == 63 != short_name("n" * 64) != short_name("n" * 65)
+    assert key_name("fleet_ship", "ship") == "fk_fleet_ship" and key_name("tender", "ship") == "tender_fk_ship"
+    assert link_name("fleet", "big_ship", "ship") == "fleet_big_ship" and link_name("fleet", "tender", "ship") == "fleet_tender_ship"
+
+
+def test_diagram_and_statements(folder):
+    model = compiled(folder, {"tables": {"floor": {"reuse": False, "extra_args": [{"name": "by_level"}]}}})
+    diagram = model.erd().split("\n")
+    assert '    work ||--|{ creator : "creator*"' in diagram and '    copy ||--o| creator : "owner"' in diagram and '    branch ||--o{ floor : "floor"' in diagram
+    assert "        string-N given" in diagram
+    statements = {s.split("`")[3]: s for s in model.create_statements("lib")}
+    assert "  `pk_floor` BIGINT NOT NULL,\n  `fk_parent_branch` BIGINT,\n  `level` INT,\n  `shelves` BIGINT" in statements["floor"] and "record_hash" not in statements["floor"]
+    assert {"table": "floor", "extra": {"name": "by_level"}} in model.index_hints()
+    assert ["branch", "floor"] in [sorted(g) for g in model.groups()] and sorted(x for g in model.groups() for x in g) == sorted(t.name for t in model.tables)
 
 
 def test_transforms(folder):
-    fields = lambda c, t: {f.name for f in model(folder, {"tables": c}).table(t).fields}
-    assert "buyer" in fields({"order": {"fields": {"buyer": {"transform": False}}}}, "order")
-    assert "comment" not in fields({"item": {"fields": {"comment": {"transform": "skip"}}}}, "item")
-    assert "ship_city" in fields({"order": {"fields": {"ship": {"transform": "elevate"}}}}, "order")
-    assert "city" in fields({"order": {"fields": {"ship": {"transform": "elevate_wo_prefix"}}}}, "order")
-    assert {"company_ace", "company_bic"} <= fields({"company": {"choice_transform": False}}, "buyer")
-    assert "product" in {f.name for f in model(folder, {"transform": False}).table("item").fields}
-    assert "product_name" in {f.name for f in model(folder, {"transform": False, "tables": {"item": {"fields": {"product": {"transform": "auto"}}}}}).table("item").fields}
+    field = lambda table, name, how: {"tables": {table: {"fields": {name: {"transform": how}}}}}
+    assert "place" in names(folder, "branch", **field("branch", "place", False)) and "place_type" not in names(folder, "branch", **field("branch", "place", False))
+    assert "lent" not in names(folder, "copy", **field("copy", "lent", "skip"))
+    assert "owner_family" in names(folder, "copy", **field("copy", "owner", "elevate"))
+    assert "family" in names(folder, "copy", **field("copy", "owner", "elevate_wo_prefix"))
+    assert {"place_grid", "place_road", "place_tower"} <= set(names(folder, "branch", tables={"place": {"choice_transform": False}}))
+    assert {"title", "place"} <= set(names(folder, "branch", transform=False))
+    assert "title_value" in names(folder, "branch", transform=False, tables={"branch": {"fields": {"title": {"transform": "auto"}}}})
 
 
 @pytest.mark.parametrize("config", [
-    {"tables": {"nothing": {}}}, {"tables": {"order": {"fields": {"item": {"transform": "elevate"}}}}}, {"tables": {"buyer": {"reuse": False}}}, {"tables": {"shop": {"reuse": False}}},
-    {"tables": {"item": {"choice_transform": True}}}, {"nothing": 1}, {"tables": {"item": {"reuse": "no"}}}, {"tables": {"item": {"fields": {"price": {"type": "Money"}}}}},
-    {"tables": {"item": {"fields": {"price": {"transform": "none"}}}}}, {"tables": []}, {"metadata_columns": [{}]},
+    {"tables": {"attic": {}}}, {"tables": {"branch": {"fields": {"floor": {"transform": "elevate"}}}}}, {"tables": {"creator": {"reuse": False}}}, {"tables": {"library": {"reuse": False}}},
+    {"tables": {"copy": {"choice_transform": True}}}, {"colour": 1}, {"tables": {"copy": {"reuse": "no"}}}, {"tables": {"copy": {"fields": {"worth": {"type": "Guilder"}}}}},
+    {"tables": {"copy": {"fields": {"worth": {"transform": "none"}}}}}, {"tables": []}, {"metadata_columns": [{}]}, {"bad_values": "perhaps"}, {"record_hash_size": -1},
 ])
 def test_config_errors(folder, config):
     with pytest.raises(ConfigError):
-        model(folder, config)
+        compiled(folder, config)
+
+
+def test_only_some_lists_can_be_joined(folder):
+    schema = '<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="n" type="xs:{}" maxOccurs="9"/></xs:sequence></xs:complexType></xs:element>'
+    asked = {"tables": {"r": {"fields": {"n": {"transform": "join"}}}}}
+    assert compiled(folder, asked, schema.format("date")).table("r").columns[0].many
+    with pytest.raises(ConfigError, match="joined"):
+        compiled(folder, asked, schema.format("boolean"))
 
 
 def test_yaml():
     assert parse_config("") == {}
-    config = parse_config("row_numbers: true\ntables:\n  item:\n    reuse: false\n    fields:\n      price: {type: String(50), rename: cost}\n  buyer:\n")
-    assert config["tables"]["item"]["fields"]["price"] == {"type": "String(50)", "rename": "cost"}
+    config = parse_config("row_numbers: true\ntables:\n  copy:\n    reuse: false\n    fields:\n      worth: {type: String(50), rename: price}\n  work:\n")
+    assert config["tables"]["copy"]["fields"]["worth"] == {"type": "String(50)", "rename": "price"}
     for bad in ("- a", "document_tree_hook: x", "tables: {a: {extra_args: x}}", "tables: {a: {fields: {b: {type: 1}}}}", "tables: {a: {fields: {b: {type: 'String('}}}}", "a: [", "tables: {a: {fields: {b: {transform: none}}}}"):
         with pytest.raises(ConfigError):
             parse_config(bad)
@@ -100,25 +120,25 @@ def test_column_types():
     assert column_type("String(5)") == T.StringType() and column_type("LargeBinary(20)") == T.BinaryType()
 
 
-def test_virtual_root_choice_groups(folder):
-    text = """
-      <xs:element name="b"><xs:complexType mixed="true"><xs:sequence><xs:element name="x" type="xs:date" maxOccurs="3"/></xs:sequence><xs:attributeGroup ref="g"/></xs:complexType></xs:element>
-      <xs:element name="a" type="ext"/>
-      <xs:attributeGroup name="g"><xs:attribute name="k" type="xs:short"/></xs:attributeGroup>
-      <xs:group name="two"><xs:choice><xs:element name="p" type="xs:boolean"/><xs:element name="q" type="xs:boolean"/></xs:choice></xs:group>
-      <xs:complexType name="base"><xs:sequence><xs:element name="one" type="u"/></xs:sequence></xs:complexType>
-      <xs:complexType name="ext"><xs:complexContent><xs:extension base="base"><xs:sequence><xs:group ref="two"/><xs:element ref="b" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>
-      <xs:simpleType name="u"><xs:union memberTypes="xs:int xs:int"/></xs:simpleType>"""
-    m = model(folder, None, text, "multi.xsd", "many")
-    assert m.root.source.virtual and m.root.name == "many"
-    assert m.source_tree.split("\n")[:6] == ["many:", "    a[1, 1]:", "        one[1, 1]: int", "        p[0, 1]: boolean", "        q[0, 1]: boolean", "        b[0, None]:"]
-    assert {f.name for f in m.table("b").fields} == {"k", "x", "value"}
+def test_several_roots_groups_and_derived_types(folder):
+    schema = """
+      <xs:element name="gauge"><xs:complexType mixed="true"><xs:sequence><xs:element name="read" type="xs:date" maxOccurs="3"/></xs:sequence><xs:attributeGroup ref="marks"/></xs:complexType></xs:element>
+      <xs:element name="alarm" type="loud"/>
+      <xs:attributeGroup name="marks"><xs:attribute name="unit" type="xs:short"/></xs:attributeGroup>
+      <xs:group name="either"><xs:choice><xs:element name="bell" type="xs:boolean"/><xs:element name="lamp" type="xs:boolean"/></xs:choice></xs:group>
+      <xs:complexType name="quiet"><xs:sequence><xs:element name="volume" type="level"/></xs:sequence></xs:complexType>
+      <xs:complexType name="loud"><xs:complexContent><xs:extension base="quiet"><xs:sequence><xs:group ref="either"/><xs:element ref="gauge" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>
+      <xs:simpleType name="level"><xs:union memberTypes="xs:int xs:int"/></xs:simpleType>"""
+    model = compiled(folder, None, schema, "several.xsd", "plant")
+    assert model.root.source.virtual and model.root.name == "plant"
+    assert model.source_tree.split("\n")[:6] == ["plant:", "    alarm[1, 1]:", "        volume[1, 1]: int", "        bell[0, 1]: boolean", "        lamp[0, 1]: boolean", "        gauge[0, None]:"]
+    assert {f.name for f in model.table("gauge").fields} == {"unit", "read", "value"}
 
 
 def test_broken_schemas(folder):
-    for text in ("", '<xs:element name="a" type="none"/>'):
+    for schema in (" ", '<xs:element name="a" type="none"/>'):
         with pytest.raises(SchemaError):
-            model(folder, None, text or " ", "bad.xsd")
-    (folder / "no.xsd").write_text("<a/>")
+            compiled(folder, None, schema, "broken.xsd")
+    (folder / "other.xsd").write_text("<a/>")
     with pytest.raises(SchemaError):
-        Model(str(folder / "no.xsd"))
+        Model(str(folder / "other.xsd"))

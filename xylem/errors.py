@@ -9,5 +9,9 @@ class SchemaError(ValueError):
     """The XSD can't be compiled."""
 
 
+class ConflictError(RuntimeError):
+    """Another load was committed first."""
+
+
 class InvalidDocument(ValueError):
     """A document is malformed or breaks its schema."""

@@ -24,8 +24,8 @@ def split_values(text: Column) -> Column:
     return F.transform(parts, lambda v: F.when(v.startswith('"'), plain(v)).otherwise(v))
 
 
-def coerce(value: Column, kind: T.DataType) -> Column:
-    """A text as a typed value; null if it isn't one. Booleans are true for `true` and `1`."""
+def tried(value: Column, kind: T.DataType) -> Column:
+    """A text as a typed value; null if it isn't one. Booleans are true for `true` and `1`, else false."""
     if isinstance(kind, T.StringType):
         return value
     if isinstance(kind, T.BooleanType):
@@ -35,6 +35,15 @@ def coerce(value: Column, kind: T.DataType) -> Column:
     return value.try_cast(kind)
 
 
+def coerce(value: Column, kind: T.DataType, strict: bool = True) -> Column:
+    """A text as a typed value; a text that isn't one is an error, or null if not strict."""
+    typed = tried(value, kind)
+    if not strict or isinstance(kind, (T.StringType, T.BooleanType)):
+        return typed
+    told = F.raise_error(F.concat(F.lit(f"not a value of type {kind.simpleString()}: "), value))
+    return F.when(typed.isNull() & value.isNotNull(), told.cast(kind)).otherwise(typed)
+
+
 def strip_blank(value: Column) -> Column:
     """Without surrounding white space; null if nothing is left."""
     return F.nullif(F.btrim(value, F.lit(" \t\r\n")), F.lit(""))
@@ -53,7 +62,10 @@ def hash_list(values: Column) -> Column:
 
 
 def digest(text: Column, how: str = "sha1") -> Column:
-    """Lower-case hex digest of a text: sha1, md5, sha256 or sha512."""
+    """Lower-case hex digest of a text: sha1, md5, sha256 or sha512; its first bytes if a size stands behind a colon."""
+    name, _, size = how.partition(":")
+    if size:
+        return F.substring(digest(text, name), 1, 2 * int(size))
     if how == "md5":
         return F.md5(text.cast("binary"))
     if how == "sha1":

@@ -8,12 +8,14 @@ counts before them, so numbering needs neither one task nor the driver for the r
 
 from __future__ import annotations
 
+import random
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xylem.errors import ConflictError
 from xylem.functions.names import short_name
 from xylem.operators.flatten import KEY, PARENT, ROW, Staged
 from xylem.plans.model import Table
@@ -38,6 +40,8 @@ class LoadStats(MergeStats):
     duration_merge: float = 0.0
     duration_cleanup: float = 0.0
     stats_available: bool = True
+    #: Texts that weren't of their type and became null (configuration bad_values: null).
+    lost_values: int = 0
 
 
 def numbered(rows: DataFrame, first: int | Column, key: str = KEY, out: str = PK) -> DataFrame:
@@ -59,14 +63,11 @@ class Merge:
         self.staged, self.model, self.store = staged, staged.model, store
         self.schemas = staged.model.schemas()
         self.keys: dict[str, DataFrame] = {}
-        self.load, self.first = store.begin(), not store.loads()
+        self.load, self.first, self.tops = store.begin(), not store.loads(), store.tops()
         self.stats = MergeStats()
 
     def _next(self, t: Table) -> int:
-        if self.first:
-            return 1
-        top = self.store.read(t.physical, self.schemas[t.physical]).agg(F.max(t.primary_key)).first()[0]
-        return (top or 0) + 1
+        return self.tops.get(t.physical, 0) + 1
 
     def _with_children(self, t: Table, rows: DataFrame) -> DataFrame:
         """Replace only children's hashes by their keys."""
@@ -80,6 +81,7 @@ class Merge:
         columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schemas[name]]
         done = self.store.append(self.load, name, rows.select(*columns, *[F.col(c) for c in (KEY, PARENT) if c in rows.columns]))
         self.stats.inserted[name] = done.count()
+        self.tops[name] = self.tops.get(name, 0) + self.stats.inserted[name]
         return done
 
     def _shared(self, t: Table) -> None:
@@ -89,9 +91,10 @@ class Merge:
             return
         old = self.store.read(t.physical, self.schemas[t.physical]).select(F.lower(F.hex(f"`{self.model.hash_column}`")).alias(KEY), F.col(f"`{t.primary_key}`").alias(PK))
         records = self.staged.records(t)
-        written = self._add_shared(t, records.join(old, KEY, "left_anti"))
         known = old.join(records.select(KEY), KEY, "left_semi").withColumn(NEW, F.lit(False))
+        known = self.store.aside(self.load, t.physical, known)  # the table is read once
         self.stats.existing[t.physical] = known.count()
+        written = self._add_shared(t, records.join(known, KEY, "left_anti"))
         self.keys[t.name] = written.unionByName(known)
 
     def _add_shared(self, t: Table, records: DataFrame) -> DataFrame:
@@ -124,17 +127,24 @@ class Merge:
                 self._shared(t) if t.reused else self._owned(t)
             for t in self.model.tables:
                 self._links(t)
-            self.store.commit(self.load, self.schemas)
+            self.store.commit(self.load, self.schemas, self.tops)
         except BaseException:
             self.store.abort(self.load, self.schemas)
             raise
         return self.stats
 
 
-def merge(staged: Staged, store: ParquetStore) -> LoadStats:
-    """Merge staged records and time it."""
+def merge(staged: Staged, store: ParquetStore, tries: int = 20) -> LoadStats:
+    """Merge staged records and time it; a load that another overtook is merged again with what is there then."""
     began = time.monotonic()
     store.create(staged.model.schemas())
-    done = Merge(staged, store).run()
+    for k in range(tries):
+        try:
+            done = Merge(staged, store).run()
+            break
+        except ConflictError:
+            if k == tries - 1:
+                raise
+            time.sleep(random.random() * min(2**k, 30) / 4)
     return LoadStats(done.inserted, done.existing, duration_merge=time.monotonic() - began)
 

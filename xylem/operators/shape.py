@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from xylem.errors import ConfigError
-from xylem.functions.text import coerce, digest, hash_list, hash_text, strip_blank
+from xylem.functions.text import coerce, digest, hash_list, hash_text, strip_blank, tried
 from xylem.plans.model import Model, Relation, Table, TargetColumn
 from xylem.sources.reader import source_name
 
@@ -19,13 +20,18 @@ HASH = "h__"
 DIGESTS = {"sha1": "sha1", "md5": "md5", "sha256": "sha256", "sha512": "sha512", "openssl_sha1": "sha1", "openssl_md5": "md5", "openssl_sha256": "sha256", "openssl_sha512": "sha512"}
 
 
+#: Column with the number of texts that became null, where nulls were asked for.
+LOST = "lost__"
+
+
 def digest_name(model: Model) -> str:
-    """The configured hash by name: a string or one of hashlib's constructors."""
+    """The configured hash by name (a string or one of hashlib's constructors), and its size in bytes behind a colon."""
     asked = model.config.get("record_hash_constructor") or "sha1"
     name = asked if isinstance(asked, str) else getattr(asked, "__name__", "")
     if name not in DIGESTS:
         raise ConfigError(f"record_hash_constructor must be sha1, md5, sha256 or sha512, not {asked!r}")
-    return DIGESTS[name]
+    size = model.config.get("record_hash_size")
+    return f"{DIGESTS[name]}:{size}" if size else DIGESTS[name]
 
 
 def _down(source: Column, path) -> Column:
@@ -34,20 +40,53 @@ def _down(source: Column, path) -> Column:
     return source
 
 
-def column_value(column: TargetColumn, source: Column) -> Column:
+def text_of(base: Column, leaf) -> Column:
+    """The text, or array of texts, of a source field; of mixed content the piece before the first child."""
+    value = base[source_name(leaf)]
+    return F.get(value, F.lit(0)) if leaf.content else value
+
+
+def column_value(column: TargetColumn, source: Column, strict: bool = True) -> Column:
     """Typed value, or array of texts, of a target column from its table's source struct."""
     base = _down(source, column.path)
     if column.leaf is None:
         present = [(b, strip_blank(base[source_name(b)])) for b in column.branches]
         if column.name == "type" or column.name.endswith("_type"):
             return F.coalesce(*[F.when(v.isNotNull(), F.lit(b.name)) for b, v in present])
-        return coerce(F.coalesce(*[v for _, v in present]), column.value_type)
-    value = base[source_name(column.leaf)]
+        return coerce(F.coalesce(*[v for _, v in present]), column.value_type, strict)
+    value = text_of(base, column.leaf)
     if column.many:
         values = value if column.leaf.many else F.array_compact(F.array(value))
-        typed = lambda v: coerce(strip_blank(v), column.value_type).cast("string")
+        typed = lambda v: coerce(strip_blank(v), column.value_type, strict).cast("string")
         return F.array_compact(F.transform(values, typed))
-    return coerce(strip_blank(value), column.value_type)
+    return coerce(strip_blank(value), column.value_type, strict)
+
+
+def lost_values(table: Table, source: Column) -> Column:
+    """How many texts below a source struct aren't of their type and became null."""
+    lost = lambda text, kind: (text.isNotNull() & tried(text, kind).isNull()).cast("long")
+    total = F.lit(0).cast("long")
+    for f in table.fields:
+        if isinstance(f, Relation):
+            child = _down(source, f.path)[f.leaf.name]
+            child = child if f.leaf.many else F.array_compact(F.array(child))
+            total = total + F.coalesce(F.aggregate(child, F.lit(0).cast("long"), _adding(f.child)), F.lit(0))
+        elif f.leaf is None or isinstance(f.value_type, (T.StringType, T.BooleanType)):
+            texts = [strip_blank(_down(source, f.path)[source_name(b)]) for b in f.branches] if f.leaf is None and not f.name.endswith("type") else []
+            total = total + sum((F.coalesce(lost(t, f.value_type), F.lit(0)) for t in texts), F.lit(0)) if not isinstance(f.value_type, (T.StringType, T.BooleanType)) else total
+        else:
+            text = text_of(_down(source, f.path), f.leaf)
+            values = text if f.leaf.many else F.array(text)
+            total = total + F.coalesce(F.size(F.filter(values, _lost(f.value_type))).cast("long"), F.lit(0))
+    return total
+
+
+def _adding(table: Table):
+    return lambda total, x: total + F.when(x.isNull(), F.lit(0).cast("long")).otherwise(lost_values(table, x))
+
+
+def _lost(kind: T.DataType):
+    return lambda v: strip_blank(v).isNotNull() & tried(strip_blank(v), kind).isNull()
 
 
 def node_hash(table: Table, node: Column, how: str) -> Column:
@@ -66,37 +105,43 @@ def node_hash(table: Table, node: Column, how: str) -> Column:
     return digest(F.concat(*parts) if parts else F.lit(""), how)
 
 
-def _built(table: Table, source: Column, how: str) -> Column:
+def _built(table: Table, source: Column, how: str, strict: bool) -> Column:
     fields = []
     for f in table.fields:
         if not isinstance(f, Relation):
-            fields.append(column_value(f, source).alias(f.name))
+            fields.append(column_value(f, source, strict).alias(f.name))
             continue
         child = _down(source, f.path)[f.leaf.name]
         if f.many:
             rows = child if f.leaf.many else F.array_compact(F.array(child))
-            fields.append(nodes(f.child, rows, how).alias(f.name))
+            fields.append(nodes(f.child, rows, how, strict).alias(f.name))
         else:
-            fields.append(node(f.child, child, how).alias(f.name))
+            fields.append(node(f.child, child, how, strict).alias(f.name))
     return F.struct(*fields) if fields else F.struct(F.lit(None).cast("string").alias("empty__"))
 
 
-def nodes(table: Table, sources: Column, how: str) -> Column:
+def nodes(table: Table, sources: Column, how: str, strict: bool = True) -> Column:
     """Array of target structs from an array of source structs."""
-    built = F.transform(F.filter(sources, lambda x: x.isNotNull()), lambda x: _built(table, x, how))
+    built = F.transform(F.filter(sources, lambda x: x.isNotNull()), lambda x: _built(table, x, how, strict))
     names = [f.name for f in table.fields] or ["empty__"]
     return F.transform(built, lambda y: F.struct(*[y[n].alias(n) for n in names], node_hash(table, y, how).alias(HASH)))
 
 
-def node(table: Table, source: Column, how: str) -> Column:
+def node(table: Table, source: Column, how: str, strict: bool = True) -> Column:
     """Target struct with its hash; null where the source is absent."""
-    return F.get(nodes(table, F.array(source), how), F.lit(0))
+    return F.get(nodes(table, F.array(source), how, strict), F.lit(0))
 
 
 def shaped(model: Model, docs: DataFrame, source: str = "src", out: str = "doc") -> DataFrame:
-    """Replace the source struct by the target struct."""
+    """Replace the source struct by the target struct.
+
+    A projection that isn't deterministic stops filters: what reads the target struct, and what drops
+    rows without one, read the same evaluation, so a text is parsed and shaped once.
+    """
     rest = [c for c in docs.columns if c != source]
-    return docs.select(*rest, node(model.root, F.col(source), digest_name(model)).alias(out))
+    made = node(model.root, F.col(source), digest_name(model), model.strict_values)
+    lost = [] if model.strict_values else [lost_values(model.root, F.col(source)).alias(LOST)]
+    return docs.select(*rest, F.when(F.floor(F.rand()) == 0, made).alias(out), *lost)
 
 
 def _stripping(table: Table):

@@ -32,7 +32,7 @@ TYPES: dict[str, T.DataType] = {
     "UUID": T.StringType(),
 }
 #: The keys of each part of a configuration.
-MODEL_KEYS = ("as_columnstore", "row_numbers", "document_tree_hook", "document_tree_node_hook", "record_hash_column_name", "record_hash_constructor", "record_hash_size", "metadata_columns", "transform", "tables")
+MODEL_KEYS = ("as_columnstore", "row_numbers", "document_tree_hook", "document_tree_node_hook", "record_hash_column_name", "record_hash_constructor", "record_hash_size", "bad_values", "metadata_columns", "transform", "tables")
 TABLE_KEYS = ("reuse", "as_columnstore", "choice_transform", "extra_args", "fields")
 FIELD_KEYS = ("type", "rename", "transform")
 FIELD_TRANSFORMS = (False, "auto", "skip", "join", "elevate", "elevate_wo_prefix")
@@ -88,6 +88,11 @@ def checked(config: Mapping | None) -> dict:
     _known(out, MODEL_KEYS, "model")
     if out.get("transform", "auto") not in (True, False, "auto", None):
         raise ConfigError("transform must be auto or false")
+    if out.get("bad_values", "error") not in ("error", "null"):
+        raise ConfigError("bad_values must be error or null")
+    size = out.get("record_hash_size")
+    if size is not None and (not isinstance(size, int) or size < 1):
+        raise ConfigError("record_hash_size must be a number of bytes")
     for c in out.get("metadata_columns") or ():
         if not isinstance(c, Mapping) or "name" not in c:
             raise ConfigError("a metadata column needs a name")

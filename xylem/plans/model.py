@@ -24,9 +24,9 @@ JOINABLE = ("string", "date", "dateTime", "NMTOKEN", "time", "base64Binary", "de
 #: Spark types of built-in types; all others are text.
 SPARK_TYPES: dict[str, T.DataType] = (
     dict.fromkeys(("decimal", "float", "double"), T.DoubleType())
-    | dict.fromkeys(("integer", "int", "positiveInteger", "negativeInteger", "nonPositiveInteger", "nonNegativeInteger"), T.IntegerType())
+    | dict.fromkeys(("integer", "long", "positiveInteger", "negativeInteger", "nonPositiveInteger", "nonNegativeInteger"), T.LongType())
     | dict.fromkeys(("short", "byte"), T.ShortType())
-    | {"long": T.LongType(), "boolean": T.BooleanType(), "dateTime": T.TimestampType()}
+    | {"int": T.IntegerType(), "boolean": T.BooleanType(), "dateTime": T.TimestampType()}
 )
 #: An optional child with more columns stays a table of its own.
 MOST_ELEVATED = 4
@@ -141,7 +141,8 @@ class Model:
     def __init__(self, xsd: str, short_name: str = "DocumentRoot", config: dict | None = None, base_url: str | None = None, long_name: str = ""):
         self.long_name = long_name or short_name
         self.config = checked(config)
-        self.root_type = Schema(xsd, base_url).root(short_name)
+        schema = Schema(xsd, base_url)
+        self.root_type, self.files = schema.root(short_name), schema.files
         self.types = self._all_types(self.root_type)
         self.source_tree = "\n".join(self._source_lines(self.root_type, 0, f"{self.root_type.table}:"))
         if self.config.get("as_columnstore") or any(t.get("as_columnstore") for t in self.config["tables"].values()):
@@ -285,6 +286,11 @@ class Model:
     def hash_column(self) -> str:
         return self.config.get("record_hash_column_name") or "record_hash"
 
+    @property
+    def strict_values(self) -> bool:
+        """False if texts that aren't of their type become null instead of failing the load."""
+        return self.config.get("bad_values", "error") != "null"
+
     @property
     def row_numbers(self) -> bool:
         return bool(self.config.get("row_numbers"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import tempfile
 import uuid
 import warnings
 
@@ -15,7 +14,7 @@ from xylem.functions.names import short_name_column
 from xylem.functions.text import split_values
 from xylem.operators import extract, merge
 from xylem.operators.flatten import KEY, NODE, PARENT, ROW, Staged, flattened
-from xylem.operators.shape import HASH, shaped
+from xylem.operators.shape import HASH, LOST, shaped
 from xylem.plans.model import Model
 from xylem.sources import reader, xmlout
 from xylem.sources.store import ParquetStore
@@ -32,8 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared folder; a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/xylem-store-{uuid.uuid4().hex[:12]}"
+    return f"{reader.shared_root(spark)}/xylem-store-{uuid.uuid4().hex[:12]}"
 
 
 @functools.cache
@@ -52,6 +50,12 @@ CONFIGS: dict[str, dict] = {
     "meta": {"metadata_columns": [{"name": "origin", "type": "String(20)"}]},
     "rename": {"tables": {"order": {"fields": {"total": {"rename": "amount", "type": "Numeric(18, 2)"}}}}},
     "keys": {"tables": {"order": {"fields": {f: {"transform": "skip"} for f in REST}}}},
+    "nulls": {"bad_values": "null"},
+    "short": {"record_hash_constructor": "md5", "record_hash_size": 8},
+    "sha512": {"record_hash_constructor": "sha512"},
+    "join": {"tables": {"order": {"fields": {"tag": {"transform": "join"}}}}},
+    "itemless": {"tables": {"order": {"fields": {"item": {"transform": "skip"}}}}},
+    "flat": {"transform": False},
 }
 
 
@@ -89,10 +93,21 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(key.alias("key"), _xml(fields, "order").alias("xml"))
 
 
-def party_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """xml: customers and suppliers, one document each; every fifth supplier's balance is no number."""
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """xml: one document a part, with text before, between and behind its elements."""
+    key = F.col("p_partkey")
+    finish = F.when(key % 2 == 0, "matt").otherwise("gloss")
+    pieces = [
+        F.lit('<part brand="'), F.col("p_brand"), F.lit('">  about '), key.cast("string"), F.lit("\n<name>"), F.col("p_name"), F.lit("</name>between<serial>"), (key + 4_000_000_000).cast("string"), F.lit("</serial><size>"),
+        F.col("p_size").cast("string"), F.lit("</size>&amp;<codes> a  b </codes><price currency='EUR'>"), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.lit("</price><"), finish, F.lit("/>behind</part>"),
+    ]
+    return _table(spark, sf_dir, "part").select(F.regexp_replace(F.concat(*pieces), "<(matt|gloss)/>", "<$1>x</$1>").alias("xml"))
+
+
+def party_texts(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame:
+    """xml: customers and suppliers, one document each. bad: every fifth supplier's balance is no number."""
     customer = F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("balance")).alias("person"))
-    balance = F.when(F.col("s_suppkey") % 5 == 0, "n/a").otherwise(F.col("s_acctbal").cast("decimal(18,2)").cast("string"))
+    balance = F.when((F.col("s_suppkey") % 5 == 0) & F.lit(bad), "n/a").otherwise(F.col("s_acctbal").cast("decimal(18,2)").cast("string"))
     supplier = F.struct(F.col("s_name").alias("name"), balance.alias("balance"))
     customers = _table(spark, sf_dir, "customer").select(_xml(customer, "customer").alias("xml"))
     return customers.unionByName(_table(spark, sf_dir, "supplier").select(_xml(supplier, "supplier").alias("xml")))
@@ -166,10 +181,36 @@ def virtual_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _root(_staged(party_texts(spark, sf_dir), _model("parties", "plain")), "supplier_name", "supplier_balance")
+    """Texts that aren't numbers become null, where that is asked for."""
+    rows = _root(_staged(party_texts(spark, sf_dir, True), _model("parties", "nulls")), "supplier_name", "supplier_balance")
     return rows.where("supplier_name IS NOT NULL")
 
 
+def lost_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts a load that may lose values has lost."""
+    docs = shaped(_model("parties", "nulls"), reader.parse_column(_model("parties", "nulls"), party_texts(spark, sf_dir, True)).select("src"))
+    return docs.agg(F.sum(LOST).alias("lost"))
+
+
+def large_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _root(_staged(part_texts(spark, sf_dir), _model("parts", "plain")), "brand", "serial")
+
+
+def mixed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of mixed content the text before the first element."""
+    return _root(_staged(part_texts(spark, sf_dir), _model("parts", "plain")), "serial", "value")
+
+
+def imported_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema with imports, includes, groups, derived, union and list types."""
+    return _root(_staged(part_texts(spark, sf_dir), _model("parts", "plain")), "serial", "name", "size", "codes", "price_currency", "price_value", "matt", "gloss")
+
+
+def namespaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = F.regexp_replace(F.regexp_replace("xml", "<(/?)([a-z])", "<$1o:$2"), "<o:order ", "<o:order xmlns:o='urn:orders' ")
+    return _root(_staged(order_texts(spark, sf_dir).select(xml.alias("xml")), _model("orders", "plain")), "key", "customer_name", "total")
+
+
 def rel1_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = _orders(spark, sf_dir, "nation", True)
     nations = staged.records(staged.model.table("nation")).select(F.col(KEY).alias("fk"), "name", "region_name")
@@ -189,8 +230,37 @@ def split_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir, "skip").records(_model("orders", "skip").root)
-    return rows.select("key", F.lit("internal" in rows.columns).alias("has_internal"))
+    """All columns of an order without the skipped one."""
+    rows = _orders(spark, sf_dir, "skip").records(_model("orders", "skip").root).drop(KEY)
+    return rows.withColumn("placed", F.date_format("placed", "yyyy-MM-dd HH:mm:ss"))
+
+
+def join_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _root(_orders(spark, sf_dir, "join"), "key", "tag")
+
+
+def pruned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are left when nothing points to one, or nothing is simplified; each parent, and whether it stands behind the table."""
+    rows = []
+    for key in ("plain", "itemless", "flat"):
+        names = [t.name for t in _model("orders", key).tables]
+        for t in _model("orders", key).tables:
+            rows += [(key, t.name, p.name, names.index(t.name) < names.index(p.name)) for p, _ in t.parents] or [(key, t.name, None, None)]
+    return spark.createDataFrame(rows, "config string, table_name string, parent string, before_parent boolean")
+
+
+def unsimplified_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table when no child is elevated and no choice folded."""
+    staged = _orders(spark, sf_dir, "flat", True)
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in staged.nodes.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the trees, the diagram and the statements of the parties' model."""
+    model = _model("parties", "plain")
+    texts = {"source": model.source_tree, "target": model.target_tree, "erd": model.erd(), "ddl": ";\n".join(model.create_statements())}
+    return spark.createDataFrame([(k, i, line) for k, t in texts.items() for i, line in enumerate(t.split("\n"))], "what string, place int, line string")
 
 
 def mixed_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +280,15 @@ def record_hash_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(_orders(spark, sf_dir)).select(*ITEM, F.col(KEY).alias("hash"))
 
 
+def record_hash_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another hash, cut to a size in bytes."""
+    return _items(_orders(spark, sf_dir, "short")).select(*ITEM, F.col(KEY).alias("hash"))
+
+
+def record_hash_sha512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(_orders(spark, sf_dir, "sha512")).select(*ITEM, F.col(KEY).alias("hash"))
+
+
 def record_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir, "keys").records(_model("orders", "keys").root).select("key", F.col(KEY).alias("hash"))
 
@@ -237,6 +316,69 @@ def merge_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("order_key"), F.col("row_number"), *ITEM)
 
 
+def merge_rel1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of only children after two loads."""
+    store, model, _ = _loaded(spark, sf_dir, "nation")
+    tables = {n: store.read(n, s) for n, s in model.schemas().items()}
+    nations = tables["nation"].select("pk_nation", F.col("name").alias("nation"), F.col("region_name").alias("region"))
+    return tables["order"].join(nations, F.col("fk_customer_nation") == F.col("pk_nation")).select("key", "nation", "region")
+
+
+def merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary keys are the whole numbers from 1 on, over all loads; compaction leaves them."""
+    store, model, _ = _loaded(spark, sf_dir, "owned")
+    store.compact(model.schemas())
+    key = lambda n, s: store.read(n, s).agg(F.count(F.lit(1)).alias("n_rows"), F.min(s.names[0]).alias("least"), F.max(s.names[0]).alias("most"), F.count_distinct(s.names[0]).alias("different"))
+    parts = [key(n, s).select(F.lit(n).alias("table_name"), "*") for n, s in model.schemas().items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _loaded_by_api(spark: SparkSession, sf_dir: str, config: dict):
+    from xylem.api import DataModel
+
+    model = DataModel(f"{SAMPLES}/orders.xsd", "orders", model_config=config, connection_string=scratch(spark), db_engine=spark)
+    model.parse_xml(order_texts(spark, sf_dir)).insert_into_target_tables()
+    return model
+
+
+def document_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hook that keeps urgent orders only."""
+    model = _loaded_by_api(spark, sf_dir, {"document_tree_hook": lambda docs: docs.where("doc.priority = '1-URGENT'")})
+    return model.store.read("order", model.plan.schemas()["order"]).select("key", "priority")
+
+
+def node_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hook on the records of a table."""
+    lower = lambda name, rows: rows.withColumn("flag", F.lower("flag")) if name == "item" else rows
+    model = _loaded_by_api(spark, sf_dir, {"document_tree_node_hook": lower})
+    return model.store.read("item", model.plan.schemas()["item"]).select(*ITEM)
+
+
+def yaml_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration written in YAML."""
+    from xylem.plans.config import parse_config
+
+    config = parse_config("row_numbers: line\ntables:\n  order:\n    fields:\n      total: {rename: amount, type: 'Numeric(18, 2)'}\n  item:\n    reuse: false\n")
+    model = _loaded_by_api(spark, sf_dir, config)
+    tables = {n: model.store.read(n, s) for n, s in model.plan.schemas().items()}
+    rows = tables["item"].join(tables["order"], F.col("fk_parent_order") == F.col("pk_order"))
+    return rows.groupBy("key", F.col("amount").cast("string").alias("amount")).agg(F.max("line").alias("lines"))
+
+
+def dropped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before and after all tables are dropped."""
+    model = _loaded_by_api(spark, sf_dir, {})
+    schema = model.plan.schemas()["order"]
+    before = model.store.read("order", schema).count()
+    model.drop_all_tables()
+    return spark.createDataFrame([(before, model.store.read("order", schema).count())], "before long, after long")
+
+
+def zoned_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, model, _ = _loaded(spark, sf_dir, "rows")
+    return extract.Extract(model, store, "priority = '2-HIGH'", "Etc/GMT-2").documents().select(F.col("n__.key").alias("order_key"), F.col("n__.placed").alias("placed"))
+
+
 def merge_child_of_new_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, model, _ = _loaded(spark, sf_dir, "owned")
     tables = {n: store.read(n, s) for n, s in model.schemas().items()}
@@ -337,7 +479,8 @@ QUERIES = {f.__name__: f for f in (
     shred_root, shred_reused_items, shred_nn_links, shred_duplicated_child, row_numbers, elevate_prefix, elevate_optional, elevate_wo_prefix, virtual_root, coerce_types,
     rel1_fk, choice_type_value, join_values, split_joined, skip_field, mixed_value, metadata_columns, rename_retype, record_hash_leaf, record_hash_tree, merge_stats, merge_new_rows,
     merge_child_of_new_parent, extract_where, unflatten_grouped, roundtrip_rows, identifier_shorten, invalid_rows, recovered_rows, validated_rows, flatten_counts, unflatten_nodes,
-    equal_documents, stream_load,
+    equal_documents, stream_load, lost_values, large_integers, mixed_pieces, imported_types, namespaced_documents, join_asked, pruned_tables, unsimplified_tables, model_texts,
+    record_hash_short, record_hash_sha512, merge_rel1, merge_keys, document_hook, node_hook, yaml_config, dropped_tables, zoned_times,
 )}
 
 _O = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -364,7 +507,30 @@ ORACLE_SQL = {
     "choice_type_value": f"SELECT o_orderkey AS key, ['cash', 'card', 'transfer'][(o_orderkey % 3 + 1)::INT] AS payment_type, o_orderpriority AS payment_value FROM {_O}",
     "join_values": f"SELECT o_orderkey AS key, o_orderpriority || ',' || {_TAG} AS tag FROM {_O}",
     "split_joined": f"SELECT o_orderkey AS key, 0::INT AS place, o_orderpriority AS value FROM {_O} UNION ALL SELECT o_orderkey, 1, 'a,b\"' || (o_orderkey % 10) FROM {_O}",
-    "skip_field": f"SELECT o_orderkey AS key, false AS has_internal FROM {_O}",
+    "skip_field": f"""SELECT o_orderkey AS key, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS placed, o_totalprice::DECIMAL(18,2)::DOUBLE AS total, o_orderstatus = 'F' AS paid,
+        c_custkey AS customer_key, c_name AS customer_name, c_mktsegment AS customer_segment, c_acctbal::DECIMAL(18,2)::DOUBLE AS customer_balance, n_name AS customer_nation_name, r_name AS customer_nation_region_name,
+        ['cash', 'card', 'transfer'][(o_orderkey % 3 + 1)::INT] AS payment_type, o_orderpriority AS payment_value, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS rush_level,
+        'en' AS note_lang, 'order ' || o_orderkey AS note_value, o_orderpriority || ',' || {_TAG} AS tag FROM {_O}""",
+    "join_asked": f"SELECT o_orderkey AS key, o_orderpriority || ',' || {_TAG} AS tag FROM {_O}",
+    "lost_values": "SELECT count(*) AS lost FROM supplier WHERE s_suppkey % 5 = 0",
+    "large_integers": "SELECT p_brand AS brand, p_partkey + 4000000000 AS serial FROM part",
+    "mixed_pieces": "SELECT p_partkey + 4000000000 AS serial, 'about ' || p_partkey AS value FROM part",
+    "imported_types": "SELECT p_partkey + 4000000000 AS serial, p_name AS name, p_size AS size, 'a  b' AS codes, 'EUR' AS price_currency, p_retailprice::DECIMAL(18,2)::DOUBLE AS price_value, CASE WHEN p_partkey % 2 = 0 THEN 'x' END AS matt, CASE WHEN p_partkey % 2 <> 0 THEN 'x' END AS gloss FROM part",
+    "namespaced_documents": f"SELECT o_orderkey AS key, c_name AS customer_name, o_totalprice::DECIMAL(18,2)::DOUBLE AS total FROM {_O}",
+    "pruned_tables": """SELECT config, table_name, parent, CASE WHEN parent IS NOT NULL THEN true END AS before_parent FROM (VALUES ('plain', 'item', 'order'), ('plain', 'order', NULL), ('itemless', 'order', NULL),
+        ('flat', 'item', 'order'), ('flat', 'note', 'order'), ('flat', 'payment', 'order'), ('flat', 'rush', 'order'), ('flat', 'customer', 'order'), ('flat', 'nation', 'customer'), ('flat', 'region', 'nation'),
+        ('flat', 'order', NULL)) AS t(config, table_name, parent)""",
+    "unsimplified_tables": f"""SELECT 'order' AS table_name, count(*) AS n_rows FROM {_O} UNION ALL SELECT 'item', count(*) FROM ({_ONE}) UNION ALL SELECT 'nation', count(DISTINCT n_name) FROM {_O}
+        UNION ALL SELECT 'region', count(DISTINCT r_name) FROM {_O} UNION ALL SELECT 'customer', count(DISTINCT c_custkey) FROM {_O} UNION ALL SELECT 'note', count(*) FROM {_O}
+        UNION ALL SELECT 'payment', count(DISTINCT (o_orderkey % 3) || o_orderpriority) FROM {_O} UNION ALL SELECT 'rush', count(DISTINCT o_orderpriority) FROM {_O} WHERE o_orderkey % 4 = 0""",
+    "record_hash_short": f"SELECT DISTINCT {_ITEM}, left({_HASH.replace('sha1(', 'md5(')}, 16) AS hash FROM {_L}",
+    "merge_rel1": f"SELECT o_orderkey AS key, n_name AS nation, r_name AS region FROM {_O}",
+    "merge_keys": f"""SELECT 'order' AS table_name, count(*) AS n_rows, 1 AS least, count(*) AS most, count(*) AS different FROM {_O} UNION ALL SELECT 'item', count(*), 1, count(*), count(*) FROM {_L}""",
+    "document_hook": f"SELECT o_orderkey AS key, o_orderpriority AS priority FROM {_O} WHERE o_orderpriority = '1-URGENT'",
+    "node_hook": f"SELECT DISTINCT lower(l_returnflag) AS flag, l_linestatus AS status, l_quantity AS quantity, l_discount AS discount FROM {_L}",
+    "yaml_config": f"SELECT o_orderkey AS key, any_value(o_totalprice::DECIMAL(18,2)::VARCHAR) AS amount, count(*)::INT AS lines FROM {_O} JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "dropped_tables": f"SELECT count(*) AS before, 0 AS after FROM {_O}",
+    "zoned_times": f"SELECT o_orderkey AS order_key, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.000+02:00') AS placed FROM {_O} WHERE o_orderpriority = '2-HIGH'",
     "mixed_value": f"SELECT o_orderkey AS key, 'en' AS note_lang, 'order ' || o_orderkey AS note_value FROM {_O}",
     "metadata_columns": f"SELECT o_orderkey AS key, 'tables' AS origin FROM {_O}",
     "rename_retype": f"SELECT o_orderkey AS key, o_totalprice::DECIMAL(18,2)::VARCHAR AS amount FROM {_O}",

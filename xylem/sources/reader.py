@@ -6,13 +6,17 @@ schema says never spoils its document and skipped subtrees are dropped by the pa
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xylem.errors import ConfigError
 from xylem.plans.model import Model, Relation, Table
 from xylem.sources.xsd import ComplexType, Field
 
@@ -34,7 +38,7 @@ def read_schema(table: Table) -> T.StructType:
         at = tree
         for f in path:
             at = at.setdefault(f.name, {})
-        at[source_name(leaf)] = T.ArrayType(kind) if leaf.many else kind
+        at[source_name(leaf)] = T.ArrayType(kind) if leaf.many or leaf.content else kind  # text: its pieces
 
     for f in table.fields:
         if isinstance(f, Relation):
@@ -50,11 +54,49 @@ def read_schema(table: Table) -> T.StructType:
     return built(tree)
 
 
+def shared_schema(spark: SparkSession, xsd: str, files: list[str]) -> str:
+    """A path of the schema that every executor can open: on a cluster a copy, with all it imports, in the shared folder."""
+    if spark.sparkContext.master.startswith("local"):
+        return xsd
+    base = os.path.dirname(os.path.abspath(xsd))
+    if any(not os.path.abspath(f).startswith(base + os.sep) for f in files):
+        raise ConfigError("to validate on a cluster, a schema's imports must lie beside it or below")
+    folder = f"{shared_root(spark)}/xylem-schema-{uuid.uuid4().hex[:12]}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files:
+        at = f"{folder}/{os.path.relpath(os.path.abspath(f), base)}"
+        fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(f)}"), spark._jvm.org.apache.hadoop.fs.Path(at))
+    return f"{folder}/{os.path.basename(xsd)}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one on one machine only."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_.get() if set_.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.gettempdir()
+    return root.rstrip("/")
+
+
 def _options(xsd: str | None, mode: str) -> dict[str, str]:
     out = {"attributePrefix": ATTRIBUTE, "valueTag": TEXT, "ignoreNamespace": "true", "nullValue": "", "mode": mode, "columnNameOfCorruptRecord": CORRUPT}
     return out | ({"rowValidationXSDPath": xsd} if xsd else {})
 
 
+def has_mixed(model: Model) -> bool:
+    return any(t.mixed and any(not f.attribute and not f.content for f in t.fields) for t in model.types)
+
+
+def without_tails(xml: Column) -> Column:
+    """The text without what stands behind the end of an element: of mixed content only the first piece counts."""
+    kept = r"(<!\[CDATA\[[\s\S]*?\]\]>|<!--[\s\S]*?-->|<\?[\s\S]*?\?>)|((?:</[^<>]*|<[^<>!?/][^<>]*/)>)[^<]+(?=<)"
+    return F.regexp_replace(xml, F.lit(kept), F.lit("$1$2"))
+
+
 def root_tag(xml: Column) -> Column:
     """Local name of a document's root element."""
     return F.regexp_extract(xml, r"(?s)^\ufeff?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>)*<(?:[^\s:/>]+:)?([^\s/>]+)", 1)
@@ -99,11 +141,20 @@ def parse_column(model: Model, docs: DataFrame, xml: str = "xml", xsd: str | Non
     otherwise its struct is null. recover: malformed texts are repaired before they are parsed again.
     """
     kept = docs.columns
-    if xsd:
-        docs.sparkSession.sparkContext.addFile(xsd)
+    mixed = has_mixed(model)
+    xsd = shared_schema(docs.sparkSession, xsd, model.files) if xsd else None
     types = [(f.name, f.type) for f in model.root_type.fields] if model.root_type.virtual else [(model.root_type.table, model.root_type)]
 
     def trial(df: DataFrame, text: str, name: str) -> DataFrame:
+        if not mixed:
+            return parsed(df, text, name, xsd)
+        df = parsed(df.withColumn("cut__", without_tails(F.col(text))), "cut__", name, None)
+        if xsd:  # texts are valid or not as they are
+            told = _parsed(F.col(text), T.StructType([]), xsd)[CORRUPT]
+            df = df.withColumn(name, F.when(told.isNull(), F.col(name)))
+        return df
+
+    def parsed(df: DataFrame, text: str, name: str, xsd: str | None) -> DataFrame:
         if not model.root_type.virtual:
             return df.withColumn(name, _parsed(F.col(text), read_schema(model.root), xsd))
         whole, parts, tag = read_schema(model.root), [], root_tag(F.col(text))

@@ -80,6 +80,7 @@ class Schema:
     def __init__(self, path: str, base_url: str | None = None):
         self.parts: dict[tuple[str, str, str], _Part] = {}
         self._read: set[str] = set()
+        self.files: list[str] = []
         self.order: list[tuple[str, str]] = []
         self._load(path, base_url or os.path.dirname(os.path.abspath(path)), None)
         self.types: dict[int, ComplexType] = {}
@@ -90,6 +91,7 @@ class Schema:
         if os.path.abspath(full) in self._read:
             return
         self._read.add(os.path.abspath(full))
+        self.files.append(os.path.abspath(full))
         prefixes, root = {}, None
         try:
             for event, value in ET.iterparse(full, ("start-ns", "start")):
