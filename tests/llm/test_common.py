@@ -1,4 +1,7 @@
+import os
+
 import pyarrow as pa
+import pytest
 from tests.llm.helpers import LOWER, rows, words
 
 from xylem.llm import common
@@ -18,3 +21,29 @@ def test_slices_and_words():
             assert at == len(flat)
         assert got == [words((t or "").translate(LOWER)) for t in texts]
     assert list(common.slices(batch.slice(0, 0), "text")) == []
+
+
+def test_folders(spark, tmp_path):
+    path = common.run_dir(spark)
+    assert spark.sparkContext.applicationId in path and common.shared_dir(spark, "x").startswith(f"{path}/x-")
+    (tmp_path / "run" / "part").mkdir(parents=True)
+    common._removed(spark, f"file:{tmp_path}/run")
+    assert not os.path.exists(tmp_path / "run")
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://x:1"
+            getConf = staticmethod(dict)
+            _jsc = spark.sparkContext._jsc
+
+        conf = spark.conf
+
+    kept = spark.conf.get("xylem.shared.dir", None)
+    spark.conf.unset("xylem.shared.dir")
+    try:
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            with pytest.raises(ValueError, match="share"):
+                common.checkpoint_root(Cluster)
+    finally:
+        if kept:
+            spark.conf.set("xylem.shared.dir", kept)

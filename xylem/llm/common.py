@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -26,17 +29,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests, one machine)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("xylem.shared.dir", None)
+    """The cluster's shared folder; a folder of our own only on one machine where none is set (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_.get() if set_.isDefined() else spark.conf.get("xylem.shared.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="xylem-")
         spark.conf.set("xylem.shared.dir", root)
     return root.rstrip("/")
 
 
+_RUNS: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one. It is deleted when the driver's Python ends: results may read it till then."""
+    path = f"{checkpoint_root(spark)}/xylem-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    uri = urlparse(path)
+    if uri.scheme in ("", "file"):
+        shutil.rmtree(uri.path, ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder; nothing is created yet."""
-    return f"{checkpoint_root(spark)}/xylem-{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder name below the application's folder; nothing is created yet."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def mounted_dir(spark: SparkSession, label: str) -> str:
