@@ -4,6 +4,12 @@ Each stage takes the documents its predecessor kept, written as Parquet and read
 those it keeps with the columns of documents; the last returns the packed pieces. No stage can be
 expressed in SQL as a whole (the language network is trained), so tests hold it against a
 brute-force version.
+
+Defined cases, by stage: documents without text (null, empty, blank) fail the quality rules; those
+without a letter the language stage; of near copies the smallest doc_id stays, of repeated rows one, a
+null doc_id only if its group has no other; documents that hold a benchmark item as a whole or in part
+(decontam.py) go; texts of any length are judged and packed whole. An empty table gives empty stages.
+Columns of documents are returned as they are, whatever their names.
 """
 
 from __future__ import annotations
