@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,15 +239,18 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
 def with_language(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs with lang_pred and score (prefixed, so that no column clashes)."""
     keep = docs.columns if keep is None else keep
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    told = F.when(text.rlike(r"\p{L}"), text).otherwise(F.lit("")).cast("binary")
-    held = docs.select(*keep, told.alias(f"{OWN}t"))
-    schema = T.StructType([*held.schema.fields[:-1], T.StructField(f"{OWN}lang", T.StringType()), T.StructField(f"{OWN}score", T.DoubleType())])
+    text = docs["text"].cast("string")
+    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    # a kept text goes to Python once
+    place = keep.index("text") if "text" in keep and isinstance(docs.schema["text"].dataType, T.StringType) else len(keep)
+    held = docs.select(*keep, *([text.alias(f"{OWN}t")] if place == len(keep) else []), has_letter.alias(f"{OWN}l"))
+    schema = T.StructType([*held.schema.fields[: len(keep)], T.StructField(f"{OWN}lang", T.StringType()), T.StructField(f"{OWN}score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, f"{OWN}t", 8 << 20):
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+            for batch in slices(whole, held.columns[place], 8 << 20):
+                told = pc.if_else(batch.column(batch.num_columns - 1), batch.column(place), "")
+                texts = told.cast(pa.binary()).to_pylist()
                 if network is None:
                     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
@@ -254,7 +258,7 @@ def with_language(docs: DataFrame, network: Network | None, keep: list[str] | No
                     best = prob.argmax(axis=1)
                     langs = [network.langs[k] if t else UNKNOWN for k, t in zip(best, texts, strict=True)]
                     scores = np.clip(prob[np.arange(len(texts)), best], 0, 1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return held.mapInArrow(run, schema)
 

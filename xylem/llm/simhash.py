@@ -81,14 +81,16 @@ def fingerprints(digests: list[bytes]) -> np.ndarray:
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs and the fingerprint as a long column FP."""
     keep = docs.columns if keep is None else keep
-    held = docs.select(*keep, F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias(f"{OWN}t"))
-    schema = T.StructType([*held.schema.fields[:-1], T.StructField(FP, T.LongType())])
+    # a kept text goes to Python once
+    place = keep.index(text) if text in keep and isinstance(docs.schema[text].dataType, T.StringType) else len(keep)
+    held = docs.select(*keep, *([docs[text].cast("string").alias(f"{OWN}t")] if place == len(keep) else []))
+    schema = T.StructType([*held.schema.fields[: len(keep)], T.StructField(FP, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, digests, size = [], [], 0
-            for text in batch.column(batch.num_columns - 1):
-                digests.append(shingle_digests(text.as_py()))
+            for text in batch.column(place).cast(pa.binary()):
+                digests.append(shingle_digests(text.as_py() or b""))
                 size += len(digests[-1])
                 if size > 8 * 200_000:
                     out.append(fingerprints(digests))
@@ -96,7 +98,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
             if digests:
                 out.append(fingerprints(digests))
             found = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*keep, FP])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, FP])
 
     return held.mapInArrow(run, schema)
 
