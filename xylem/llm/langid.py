@@ -244,11 +244,12 @@ def with_language(docs: DataFrame, network: Network | None, keep: list[str] | No
     # a kept text goes to Python once
     place = keep.index("text") if "text" in keep and isinstance(docs.schema["text"].dataType, T.StringType) else len(keep)
     held = docs.select(*keep, *([text.alias(f"{OWN}t")] if place == len(keep) else []), has_letter.alias(f"{OWN}l"))
+    column = held.columns[place]
     schema = T.StructType([*held.schema.fields[: len(keep)], T.StructField(f"{OWN}lang", T.StringType()), T.StructField(f"{OWN}score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, held.columns[place], 8 << 20):
+            for batch in slices(whole, column, 8 << 20):
                 told = pc.if_else(batch.column(batch.num_columns - 1), batch.column(place), "")
                 texts = told.cast(pa.binary()).to_pylist()
                 if network is None:
