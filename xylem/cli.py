@@ -11,14 +11,15 @@ from urllib.parse import parse_qs
 
 from xylem.api import DataModel
 from xylem.plans.config import load_config, parse_config
+from xylem.plans.dialects import DIALECTS
 
 
-def rendered(model: DataModel, what: str) -> str:
+def rendered(model: DataModel, what: str, dialect: str | None = None) -> str:
     texts = {
         "erd": model.get_entity_rel_diagram,
         "source-tree": lambda: model.source_tree,
         "target-tree": lambda: model.target_tree,
-        "ddl": lambda: ";\n\n".join(model.get_all_create_table_statements()) + ";\n",
+        "ddl": lambda: ";\n\n".join(model.get_all_create_table_statements(dialect) + (model.get_all_create_index_statements(dialect) if dialect else [])) + ";\n",
     }
     return texts[what]()
 
@@ -33,7 +34,7 @@ def import_(args: argparse.Namespace) -> None:
 
 def render(args: argparse.Namespace) -> None:
     model = DataModel(args.xsd, args.name, model_config=load_config(args.config) if args.config else None)
-    print(rendered(model, args.what))
+    print(rendered(model, args.what, args.dialect))
 
 
 class Explorer:
@@ -117,6 +118,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--recover", action="store_true")
         elif name == "render":
             sub.add_argument("--what", choices=("erd", "target-tree", "source-tree", "ddl"), default="target-tree")
+            sub.add_argument("--dialect", choices=tuple(DIALECTS))
         else:
             sub.add_argument("--port", type=int, default=8000)
     return out

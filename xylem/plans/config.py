@@ -97,6 +97,7 @@ def checked(config: Mapping | None) -> dict:
         if not isinstance(c, Mapping) or "name" not in c:
             raise ConfigError("a metadata column needs a name")
         column_type(c.get("type", "String"))
+        _known(dict(c), ("name", "type", "default"), f"metadata column {c['name']}")
     tables = {}
     for name, table in _mapping(out.get("tables"), "tables").items():
         table = _mapping(table, f"table {name}")

@@ -63,10 +63,14 @@ class TargetColumn:
     def spark_type(self) -> T.DataType:
         return T.StringType() if self.many else self.value_type
 
+    @property
+    def longest(self) -> int:
+        """The longest text that the configuration or the schema allows, 1000 if neither says."""
+        return type_length(self.options.get("type")) or self.type.max_length or 1000
+
     def ddl(self) -> str:
         if isinstance(self.spark_type, T.StringType):
-            longest = 8000 if self.many else type_length(self.options.get("type")) or self.type.max_length or 1000
-            return f"VARCHAR({longest})"
+            return f"VARCHAR({8000 if self.many else self.longest})"
         return self.spark_type.simpleString().upper()
 
 

@@ -280,6 +280,27 @@ def record_hash_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(_orders(spark, sf_dir)).select(*ITEM, F.col(KEY).alias("hash"))
 
 
+def bulk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a database's bulk loader reads them: escapes, truth values, bytes and nulls."""
+    from xylem.plans import dialects
+
+    hashed = F.when(F.col("s_suppkey") % 3 != 0, F.unhex(F.md5(F.col("s_name").cast("binary"))))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.replace("s_name", F.lit("#"), F.lit("\t")).alias("name"), (F.col("s_suppkey") % 2 == 0).alias("even"), hashed.alias("hash"))
+    return dialects.lines(rows, dialects.dialect("postgresql")).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("s_suppkey"), F.col("value").alias("line"))
+
+
+def database_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' tables copied to a database by JDBC after each of two loads, read back from it."""
+    from xylem.sources import databases
+
+    store, model, _ = _loaded(spark, sf_dir, "rows")
+    url, driver = f"jdbc:derby:memory:x{uuid.uuid4().hex[:12]};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    databases.to_jdbc(store, model, url, "derby", driver)
+    back = {n: spark.read.jdbc(url, f'"{n}"', properties=driver) for n in model.schemas()}
+    rows = back["order_item"].join(back["order"], F.col("fk_order") == F.col("pk_order")).join(back["item"], F.col("fk_item") == F.col("pk_item"))
+    return rows.select(F.col("key").alias("order_key"), "row_number", *ITEM)
+
+
 def record_hash_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another hash, cut to a size in bytes."""
     return _items(_orders(spark, sf_dir, "short")).select(*ITEM, F.col(KEY).alias("hash"))
@@ -480,7 +501,7 @@ QUERIES = {f.__name__: f for f in (
     rel1_fk, choice_type_value, join_values, split_joined, skip_field, mixed_value, metadata_columns, rename_retype, record_hash_leaf, record_hash_tree, merge_stats, merge_new_rows,
     merge_child_of_new_parent, extract_where, unflatten_grouped, roundtrip_rows, identifier_shorten, invalid_rows, recovered_rows, validated_rows, flatten_counts, unflatten_nodes,
     equal_documents, stream_load, lost_values, large_integers, mixed_pieces, imported_types, namespaced_documents, join_asked, pruned_tables, unsimplified_tables, model_texts,
-    record_hash_short, record_hash_sha512, merge_rel1, merge_keys, document_hook, node_hook, yaml_config, dropped_tables, zoned_times,
+    record_hash_short, record_hash_sha512, merge_rel1, merge_keys, document_hook, node_hook, yaml_config, dropped_tables, zoned_times, bulk_lines, database_copy,
 )}
 
 _O = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -523,7 +544,16 @@ ORACLE_SQL = {
     "unsimplified_tables": f"""SELECT 'order' AS table_name, count(*) AS n_rows FROM {_O} UNION ALL SELECT 'item', count(*) FROM ({_ONE}) UNION ALL SELECT 'nation', count(DISTINCT n_name) FROM {_O}
         UNION ALL SELECT 'region', count(DISTINCT r_name) FROM {_O} UNION ALL SELECT 'customer', count(DISTINCT c_custkey) FROM {_O} UNION ALL SELECT 'note', count(*) FROM {_O}
         UNION ALL SELECT 'payment', count(DISTINCT (o_orderkey % 3) || o_orderpriority) FROM {_O} UNION ALL SELECT 'rush', count(DISTINCT o_orderpriority) FROM {_O} WHERE o_orderkey % 4 = 0""",
+    "model_texts": """SELECT * FROM (VALUES ('source', 0::INT, 'parties:'), ('source', 1, '    customer[1, 1]:'), ('source', 2, '        person[1, 1]:'), ('source', 3, '            name[1, 1]: string'),
+        ('source', 4, '            balance[1, 1]: decimal'), ('source', 5, '    supplier[1, 1]:'), ('source', 6, '        name[1, 1]: string'), ('source', 7, '        balance[1, 1]: decimal'),
+        ('target', 0, 'parties:'), ('target', 1, '    customer_name[1, 1]: string'), ('target', 2, '    customer_balance[1, 1]: decimal'), ('target', 3, '    supplier_name[1, 1]: string'), ('target', 4, '    supplier_balance[1, 1]: decimal'),
+        ('erd', 0, '```mermaid'), ('erd', 1, 'erDiagram'), ('erd', 2, '    parties {'), ('erd', 3, '        string customer_name'), ('erd', 4, '        decimal customer_balance'), ('erd', 5, '        string supplier_name'),
+        ('erd', 6, '        decimal supplier_balance'), ('erd', 7, '    }'), ('erd', 8, '```'),
+        ('ddl', 0, 'CREATE TABLE IF NOT EXISTS `parties` ('), ('ddl', 1, '  `pk_parties` BIGINT NOT NULL,'), ('ddl', 2, '  `customer_name` VARCHAR(1000),'), ('ddl', 3, '  `customer_balance` DOUBLE,'),
+        ('ddl', 4, '  `supplier_name` VARCHAR(1000),'), ('ddl', 5, '  `supplier_balance` DOUBLE,'), ('ddl', 6, '  `record_hash` BINARY'), ('ddl', 7, ') USING parquet')) AS t(what, place, line)""",
+    "bulk_lines": "SELECT s_suppkey, s_suppkey || chr(9) || replace(s_name, '#', chr(92) || 't') || chr(9) || CASE WHEN s_suppkey % 2 = 0 THEN 't' ELSE 'f' END || chr(9) || CASE WHEN s_suppkey % 3 = 0 THEN chr(92) || 'N' ELSE chr(92) || chr(92) || 'x' || upper(md5(s_name)) END AS line FROM supplier",
     "record_hash_short": f"SELECT DISTINCT {_ITEM}, left({_HASH.replace('sha1(', 'md5(')}, 16) AS hash FROM {_L}",
+    "database_copy": f"SELECT l_orderkey AS order_key, {_PLACE} AS row_number, {_ITEM} FROM {_L}",
     "merge_rel1": f"SELECT o_orderkey AS key, n_name AS nation, r_name AS region FROM {_O}",
     "merge_keys": f"""SELECT 'order' AS table_name, count(*) AS n_rows, 1 AS least, count(*) AS most, count(*) AS different FROM {_O} UNION ALL SELECT 'item', count(*), 1, count(*), count(*) FROM {_L}""",
     "document_hook": f"SELECT o_orderkey AS key, o_orderpriority AS priority FROM {_O} WHERE o_orderpriority = '1-URGENT'",
