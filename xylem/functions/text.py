@@ -41,7 +41,7 @@ def coerce(value: Column, kind: T.DataType, strict: bool = True) -> Column:
     if not strict or isinstance(kind, (T.StringType, T.BooleanType)):
         return typed
     told = F.raise_error(F.concat(F.lit(f"not a value of type {kind.simpleString()}: "), value))
-    return F.when(typed.isNull() & value.isNotNull(), told.cast(kind)).otherwise(typed)
+    return F.coalesce(typed, F.when(value.isNotNull(), told.cast(kind)))  # casts once where it can
 
 
 def strip_blank(value: Column) -> Column:
