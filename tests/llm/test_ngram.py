@@ -94,6 +94,19 @@ def test_rounds_and_shards(spark, monkeypatch):
     compare(ngram.scores(docs).collect(), brute([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_words_with_shards_of_their_own(spark, monkeypatch):
+    """Frequent words, a third of all tokens among them, are cut into pieces; scores stay."""
+    monkeypatch.setattr(ngram, "HOT", 40)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10**6 + i, " hot ".join((t or "").split()[:60])) for i, t in rows]
+    folders, train = [], ngram.train
+    monkeypatch.setattr(ngram, "train", lambda docs: folders.append(train(docs)) or folders[-1])
+    compare(ngram.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows))
+    trie = ngram.Trie(folders[0])
+    assert len(trie.hot) > 3 and trie.pieces.max() > 10
+    assert (trie.pieces >= 2).all() and sum(trie._ranks["sizes"]) > 1000
+
+
 def test_discounts():
     assert ngram.discounts([0, 0, 0, 0])[0] == 0 and (ngram.discounts([9, 0, 0, 0])[1:] > 0).all()
     y = 100 / (100 + 2 * 40)

@@ -19,7 +19,9 @@ one before quantisation (steps of 1 / QUANTA in log10).
 Distribution: shards follow ranges of the word hash; there are spark.sql.shuffle.partitions of them, or
 one for SHARD_BYTES of training text if that is more. One pass over the training texts counts each
 order. A task counts within SLICE bytes and sends each shard one block of sorted, delta-coded keys.
-Blocks of a shard are merged in rounds of about FAN, so no task takes more than that. When the counts of
+Blocks of a shard are merged in rounds of about FAN, so no task takes more than that. A word seen more often than a
+shard's even share of tokens (fewer words than shards are) has shards of its own in levels 2 and 3, each with a range
+of the successors' ids; the word's discounted mass is summed over them, and a place among its successors counts through them. When the counts of
 all shards stand and the discounts are known, a task for each shard builds its level. Files are renamed
 into place when whole, so a repeated task writes the same file. The order-3 pass looks bigrams up in level 2, which makes its keys context-relative. Scoring is one map over
 all texts; only one row for each shard ever reaches the driver.
@@ -35,6 +37,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import json
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -43,13 +46,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.llm.common import held_out, mounted_dir, slices, word_lists
 
 QUANTA, SLICE = 4096, 8 << 20
 SHARD_BYTES, FAN = 64 << 20, 256
+#: A word gets shards of its own if it is seen more often than a shard's even share of tokens over this. Layout only.
+HOT = 1
 HASH_BITS = 63
 #: No word holds a blank, so this is nobody's.
 END = xxhash.xxh64_intdigest(b" ", 0) >> 1
@@ -238,13 +243,52 @@ class Trie:
         self.shards, self.total = meta["shards"], meta["tokens"]
         self.base = np.concatenate([[0], np.cumsum(meta["words"])]).astype(np.int64)
         self.size = int(self.base[-1])
+        self.hot, self.hot_count, self.pieces = (np.array(meta[k], np.int64) for k in ("hot", "hot_count", "pieces"))
+        self.first = self.shards + np.cumsum(self.pieces) - self.pieces  # shard of each hot word's first piece
+        self.all_shards = self.shards + int(self.pieces.sum())
 
     @functools.cached_property
-    def rank_bits(self) -> int:
-        """Bits of a place among the successors of a word; known once level 2 stands."""
+    def _ranks(self) -> dict:
+        """Known once level 2 stands."""
         with open(f"{self.folder}/ranks.json") as f:
             return json.load(f)
 
+    @functools.cached_property
+    def rank_bits(self) -> int:
+        """Bits of a place among the successors of a word."""
+        return self._ranks["bits"]
+
+    @functools.cached_property
+    def _filled(self) -> np.ndarray:
+        """Bigrams in all pieces before each piece."""
+        return np.concatenate([[0], np.cumsum(self._ranks["sizes"])]).astype(np.int64)
+
+    def hot_at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ids are hot words, and the numbers of those among the hot words."""
+        if not len(self.hot):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hot, ids), len(self.hot) - 1)
+        hit = np.flatnonzero(self.hot[at] == ids)
+        return hit, at[hit]
+
+    def word_of_piece(self, s: int) -> int:
+        """Number, among the hot words, of the word that this shard has a piece of."""
+        return int(np.searchsorted(self.first, s, side="right")) - 1
+
+    def before_piece(self, s: int) -> int:
+        """Successors of the shard's word in the pieces before; 0 for the shard of many words."""
+        return int(self._filled[s - self.shards] - self._filled[self.first[self.word_of_piece(s)] - self.shards]) if s >= self.shards else 0
+
+    def shard_of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shard = self.shard_of_id(a)
+        at, word = self.hot_at(a)
+        shard[at] = self.first[word] + b[at] * self.pieces[word] // self.size
+        return shard
+
+    def node_base(self, shard: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Id of a shard's first node; a piece has one node, its word."""
+        return np.where(shard < self.shards, self.base[np.minimum(shard, self.shards - 1)], a)
+
     def _shard(self, name: str, make):
         if name not in self.cached:
             self.cached[name] = make(f"{self.folder}/{name}")
@@ -261,9 +305,9 @@ class Trie:
         return self._shard(f"{order}-{s}", Level)
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        shard = shard.astype(np.uint16) if self.shards < 1 << 16 else shard  # sorted by radix
+        shard = shard.astype(np.uint16) if self.all_shards < 1 << 16 else shard  # sorted by radix
         order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        ends = np.searchsorted(shard[order], np.arange(self.all_shards + 1))
         for s in np.unique(shard):
             yield int(s), order[ends[s] : ends[s + 1]]
 
@@ -300,17 +344,31 @@ class Trie:
 
     def bigrams(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of known pairs: shard, place there or -1, place among a's successors, log10 probability."""
-        shard = self.shard_of_id(a)
+        shard = self.shard_of_pair(a, b)
         place, rank, prob = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64), np.zeros(len(a))
         for s, at in self.by_shard(shard):
             level = self.level(2, s)
-            found, start = level.find(a[at] - self.base[s], b[at])
+            found, start = level.find(a[at] - (self.base[s] if s < self.shards else a[at]), b[at])
             hit = found >= 0
             at, found = at[hit], found[hit]
-            place[at], rank[at] = found, found - start[hit]
+            place[at], rank[at] = found, found - start[hit] + self.before_piece(s)
             prob[at] = level.prob[found] / -QUANTA
         return shard, place, rank, prob
 
+    def ranked(self, a: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """log10 probability of each word's successor of that rank."""
+        shard, within, prob = self.shard_of_id(a), rank.copy(), np.zeros(len(a))
+        at, word = self.hot_at(a)
+        if len(at):
+            overall = self._filled[self.first[word] - self.shards] + rank[at]
+            piece = np.searchsorted(self._filled, overall, side="right") - 1
+            shard[at], within[at] = self.shards + piece, overall - self._filled[piece]
+        for s, own in self.by_shard(shard):
+            level = self.level(2, s)
+            start = level.pointers.get(a[own] - self.base[s]) if s < self.shards else 0
+            prob[own] = level.prob[start + within[own]] / -QUANTA
+        return prob
+
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (hashes >> 32) * shards >> (HASH_BITS - 32)
@@ -406,8 +464,9 @@ def _bigram_blocks(texts: pa.Array, shards: int, folder: str) -> Iterator[tuple[
     trie = opened(folder)
     ids, lengths, end = _known_tokens(trie, texts)
     keys, counts = _counted(pairs_of(ids, lengths, end) * trie.size + ids)
-    shard = trie.shard_of_id(keys // trie.size)
-    yield from _blocks(shard, keys - trie.base[shard] * trie.size, counts)
+    a = keys // trie.size
+    shard = trie.shard_of_pair(a, keys - a * trie.size)
+    yield from _blocks(shard, keys - trie.node_base(shard, a) * trie.size, counts)
 
 
 def distinct_bigrams(trie: Trie, ids: np.ndarray, lengths: np.ndarray, end: int):
@@ -472,23 +531,38 @@ def _kept(folder: str, order: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return unpack_keys(block) if block else (np.empty(0, np.int64),) * 2
 
 
-def _build2(folder: str, s: int, discount: np.ndarray) -> int:
+def _hot_back(trie: Trie, counted: list[tuple[int, ...]], discount: np.ndarray) -> np.ndarray:
+    """Back-off weight of each hot word, from what the pass tells of its pieces."""
+    if not len(trie.hot):
+        return np.empty(0)
+    n, total, one, two = np.array([r[1:5] for r in counted[trie.shards :]], np.int64).T
+    rest = total - discount[1] * one - discount[2] * two - discount[3] * (n - one - two)
+    return np.maximum(1 - np.add.reduceat(rest, trie.first - trie.shards) / trie.hot_count, 1e-9)
+
+
+def _build2(folder: str, s: int, discount: np.ndarray, hot_back: np.ndarray) -> int:
     """Writes level 2; the most successors of a word."""
     trie = opened(folder)
-    own = int(trie.base[s + 1] - trie.base[s])
     keys, counts = _kept(folder, 2, s)
     node, child = keys // max(trie.size, 1), keys % max(trie.size, 1)
-    context = np.asarray(trie.level1(s)[1]["count"])
     rest = counts - discount[np.minimum(counts, 3)]
-    back = np.maximum(1 - np.bincount(node, weights=rest, minlength=own) / np.maximum(context, 1), 1e-9)
+    if s < trie.shards:
+        own = int(trie.base[s + 1] - trie.base[s])
+        context = np.asarray(trie.level1(s)[1]["count"])
+        back = np.maximum(1 - np.bincount(node, weights=rest, minlength=own) / np.maximum(context, 1), 1e-9)
+        here, word = trie.hot_at(np.arange(own) + trie.base[s])
+        back[here] = hot_back[word]
+        write_arrays(f"{folder}/b-{s}", {"back": quantise(np.log10(back))})
+    else:
+        own, word = 1, trie.word_of_piece(s)
+        context, back = trie.hot_count[word : word + 1], hot_back[word : word + 1]
     lower = 10 ** trie.unigram(trie.counts(child)[0])
     prob = rest / context[node] + back[node] * lower
-    write_arrays(f"{folder}/b-{s}", {"back": quantise(np.log10(back))})
     Level.write(f"{folder}/2-{s}", own, node, child, np.log10(prob), np.empty(0))
     return int(np.bincount(node).max()) if len(node) else 0
 
 
-def _build3(folder: str, s: int, discount: np.ndarray) -> int:
+def _build3(folder: str, s: int, discount: np.ndarray, hot_back: np.ndarray) -> int:
     """Writes level 3 and removes the counts, which are as large; a repeated task finds the level there."""
     if os.path.exists(f"{folder}/3-{s}"):
         return 0
@@ -497,11 +571,7 @@ def _build3(folder: str, s: int, discount: np.ndarray) -> int:
     rest = counts - discount[np.minimum(counts, 3)]
     back = np.maximum(1 - np.bincount(parent, weights=rest, minlength=len(pair_count)) / np.maximum(pair_count, 1), 1e-9)
     middle = trie.level(2, s).all()[1][parent]
-    lower = np.zeros(len(keys))
-    for o, at in trie.by_shard(trie.shard_of_id(middle)):
-        level = trie.level(2, o)
-        lower[at] = level.prob[level.pointers.get(middle[at] - trie.base[o]) + rank[at]] / -QUANTA
-    prob = rest / pair_count[parent] + back[parent] * 10**lower
+    prob = rest / pair_count[parent] + back[parent] * 10 ** trie.ranked(middle, rank)
     Level.write(f"{folder}/3-{s}", len(pair_count), parent, rank, np.log10(prob), np.log10(back))
     with contextlib.suppress(FileNotFoundError):
         os.remove(f"{folder}/k3-{s}")
@@ -535,16 +605,32 @@ def _pass(docs: DataFrame, blocks, build, folder: str, shards: int, parts: int)
     return sorted(tuple(r) for r in rows)
 
 
-def _level(docs: DataFrame, order: int, blocks, build, folder: str, shards: int, parts: int) -> int:
-    """Count an order, then build its level with the discounts of all shards; the largest number that a build returns."""
+def _frequent(spark: SparkSession, folder: str, shards: int, more_than: float) -> list[tuple[int, int, int]]:
+    """(shard, place there, count) of the words seen more often; no more of them than tokens / more_than."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                count = np.asarray(map_arrays(f"{folder}/1-{s}")["count"])
+                at = np.flatnonzero(count > more_than)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(at), s)), "place": pa.array(at), "count": pa.array(count[at])})
+
+    return sorted(tuple(r) for r in spark.range(0, shards, 1, shards).mapInArrow(run, "shard long, place long, count long").collect())
+
+
+def _level(docs: DataFrame, order: int, blocks, build, folder: str, parts: int) -> tuple[int, list[tuple[int, ...]]]:
+    """Count an order, then build its level with the discounts of all shards; the largest number that a build returns, the pass's rows."""
+    trie = Trie(folder)
+    shards = trie.all_shards
     counted = _pass(docs, blocks, _counts_kept(order), folder, shards, parts)
     discount = discounts([sum(r[k] for r in counted) for k in (3, 4, 5, 6)])
+    hot_back = _hot_back(trie, counted, discount) if order == 2 else np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"most": pa.array([build(folder, s, discount) for s in batch.column(0).to_pylist()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"most": pa.array([build(folder, s, discount, hot_back) for s in batch.column(0).to_pylist()], pa.int64())})
 
-    return docs.sparkSession.range(0, shards, 1, shards).mapInArrow(run, "most long").agg(F.max("most")).first()[0]
+    return docs.sparkSession.range(0, shards, 1, shards).mapInArrow(run, "most long").agg(F.max("most")).first()[0], counted
 
 
 def _write_json(path: str, value) -> None:
@@ -560,11 +646,20 @@ def train(docs: DataFrame) -> str:
     folder, parts = mounted_dir(spark, "ngram"), -(-size // SLICE)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     own = _pass(docs, _unigram_blocks, _build1, folder, shards, parts)
-    _write_json(f"{folder}/meta.json", {"shards": shards, "words": [r[1] for r in own], "tokens": sum(r[2] for r in own)})
-    most = _level(docs, 2, _bigram_blocks, _build2, folder, shards, parts)
-    _write_json(f"{folder}/ranks.json", max(1, most.bit_length()))
-    _level(docs, 3, _trigram_blocks, _build3, folder, shards, parts)
-    for s in range(shards):
+    tokens = sum(r[2] for r in own)
+    share = tokens / shards / HOT
+    hot = _frequent(spark, folder, shards, share) if tokens else []
+    base = np.cumsum([0, *[r[1] for r in own]])
+    pieces = [math.ceil(count / share) for _, _, count in hot]
+    words = {"hot": [int(base[s]) + place for s, place, _ in hot], "hot_count": [count for _, _, count in hot], "pieces": pieces}
+    _write_json(f"{folder}/meta.json", {"shards": shards, "words": [r[1] for r in own], "tokens": tokens} | words)
+    most, counted = _level(docs, 2, _bigram_blocks, _build2, folder, parts)
+    sizes = [r[1] for r in counted[shards:]]
+    ends = np.cumsum(pieces, dtype=np.int64).tolist()
+    most = max([most, *[sum(sizes[b - n : b]) for n, b in zip(pieces, ends, strict=True)]])
+    _write_json(f"{folder}/ranks.json", {"bits": max(1, most.bit_length()), "sizes": sizes})
+    _level(docs, 3, _trigram_blocks, _build3, folder, parts)
+    for s in range(shards + len(sizes)):
         os.remove(f"{folder}/k2-{s}")
     return folder
 
