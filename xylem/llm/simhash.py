@@ -36,6 +36,8 @@ from xylem.llm.common import OWN, materialise
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
 #: A variant with more distinct fingerprints than this is cut again. Speed only: results don't depend on it.
 HOT_VARIANT = 256
+#: The rows of one node or component are spread over this many slots before a join.
+SLOTS = 64
 FP = f"{OWN}fp"
 #: SPREAD[b] holds the 8 bits of byte b, highest first, in the 8 bytes of a 64-bit integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).copy().view(np.uint64).ravel()
@@ -145,6 +147,15 @@ def links(nodes: DataFrame, hot_variant: int = HOT_VARIANT) -> DataFrame:
     return _meet(cool, ["key"], _FIRST).unionByName(_meet(finer, ["key", "subkey"], f"({_FIRST}) AND ({_FIRST_SUB})"))
 
 
+def _with_lowest(rows: DataFrame, node: str, value: str, by: str | None = None) -> DataFrame:
+    """rows and, as m, the smallest value of its node. A node's rows are never brought together: each of
+    its slots, which rows are spread over by the hash of `by` (the value), is joined by itself."""
+    slotted = rows.withColumn("slot", F.pmod(F.xxhash64(by or value), F.lit(SLOTS)))
+    slots = slotted.groupBy(node, "slot").agg(F.min(value).alias("m"))
+    lowest = slots.groupBy(node).agg(F.min("m").alias("m"))
+    return slotted.join(slots.select(node, "slot").join(lowest, node), [node, "slot"]).drop("slot")
+
+
 def star_roots(edges: DataFrame) -> DataFrame:
     """(v, root): for each node that has an edge (u, v) and isn't its component's smallest, that smallest node.
 
@@ -154,11 +165,9 @@ def star_roots(edges: DataFrame) -> DataFrame:
     edges, before = edges.where("u <> v").selectExpr("least(u, v) AS u", "greatest(u, v) AS v"), None
     while True:
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS n", "least(u, m) AS m")
-        edges = both.join(low, F.col("u") == F.col("n")).where("v > u AND v <> m").selectExpr("m AS u", "v").distinct()
-        low = edges.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "n")
-        hung = edges.join(low, F.col("v") == F.col("n"))
-        edges = hung.selectExpr("m AS u", "explode(array(u, v)) AS v").where("u <> v").distinct()
+        hung = _with_lowest(both, "u", "v").withColumn("m", F.least("u", "m"))
+        edges = hung.where("v > u AND v <> m").selectExpr("m AS u", "v").distinct()
+        edges = _with_lowest(edges, "v", "u").selectExpr("m AS u", "explode(array(u, v)) AS v").where("u <> v").distinct()
         edges = materialise(edges, "stars")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
@@ -171,8 +180,7 @@ def with_component(rows: DataFrame, doc_id: str = "doc_id", hot_variant: int = H
     reps = materialise(rows.groupBy(F.col(FP).alias("fp")).agg(F.min(doc_id).alias("rep")), "fingerprints")
     roots = star_roots(materialise(links(reps.select("fp"), hot_variant), "links"))
     placed = reps.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    return placed.join(lowest, "root").select(F.col("fp").alias(FP), "rep", "component", "root")
+    return _with_lowest(placed, "root", "rep", by="fp").select(F.col("fp").alias(FP), "rep", F.col("m").alias("component"), "root")
 
 
 def classes(docs: DataFrame) -> DataFrame:
