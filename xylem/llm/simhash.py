@@ -199,4 +199,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     mine = ids.groupBy(FP).agg(F.min(order).alias("first"))
     placed = mine.join(with_component(ids).select(FP, "root"), FP)
     winners = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid))
-    return rows.join(winners, rid, "left_semi").select(*docs.columns)
+    # hashed, not sorted: only ids are held, the texts stream past them
+    return rows.join(winners.hint("shuffle_hash"), rid, "left_semi").select(*docs.columns)
