@@ -29,6 +29,8 @@ from xylem.llm.common import slices, whole_text
 
 CAPACITIES = (512, 1024, 2048, 4096)
 GROUP = 1 << 21
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 PAD = 50256
 
 
@@ -142,8 +144,16 @@ def sequences(doc: pa.Array, count: np.ndarray, ids: np.ndarray, capacities: tup
     bins, offsets, sizes = pack(n, capacities) if len(n) else (np.empty(0, np.int64),) * 3
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     flat = np.full(int(ends[-1]), pad, kind)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    flat[np.repeat(ends[bins] + offsets, n) + inside] = ids[np.repeat((np.cumsum(count) - count)[text] + start, n) + inside]
+    # places of all ids, in the shortest integers that hold them
+    short = np.int32 if max(len(flat), len(ids)) < 1 << 31 else np.int64
+    spread = lambda x: np.repeat(x.astype(short), n)
+    inside = np.arange(int(n.sum()), dtype=short)
+    inside -= spread(np.cumsum(n) - n)
+    source = spread((np.cumsum(count) - count)[text] + start)
+    source += inside
+    inside += spread(ends[bins] + offsets)
+    flat[inside] = ids[source]
+    del inside, source
     order = np.lexsort((offsets, bins))
     bins, offsets, text, start, n = (x[order] for x in (bins, offsets, text, start, n))
     edges = np.searchsorted(bins, np.arange(len(sizes) + 1))
@@ -179,9 +189,10 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ranks: str
         base, waiting, size = TaskContext.get().partitionId() << 32, [], 0
         whole = lambda: sequences(pa.concat_arrays([w[0] for w in waiting]), *(np.concatenate([w[k] for w in waiting]) for k in (1, 2)), capacities, pad, kind, base)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                waiting.append((part.column(0), *bpe.encoded(encoding, part.column(1))))
-                size += len(waiting[-1][2])
+            for part in slices(batch, "text", SLICE):
+                count, ids = bpe.encoded(encoding, part.column(1))
+                waiting.append((part.column(0), count, ids.astype(kind)))
+                size += len(ids)
                 if size >= group:
                     out = whole()
                     base, waiting, size = base + out.num_rows, [], 0
