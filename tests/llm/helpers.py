@@ -32,3 +32,20 @@ def words(text):
 
 def by_key(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def executed(df):
+    """The physical plan as Spark chooses it before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def recorded(monkeypatch, module):
+    """A list that gets (label, physical plan) of all that the module materialises."""
+    plans, write = [], module.materialise
+
+    def noted(df, label):
+        plans.append((label, executed(df)))
+        return write(df, label)
+
+    monkeypatch.setattr(module, "materialise", noted)
+    return plans

@@ -1,11 +1,11 @@
 import corpus_pipeline
-from tests.llm.helpers import none, odd, words
+from tests.llm.helpers import none, odd, recorded, words
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_packing import together
 from tests.llm.test_quality import brute as measures
 from tests.llm.test_simhash import components, fingerprint
 
-from xylem.llm import bpe, langid
+from xylem.llm import bpe, langid, simhash
 from xylem.llm.common import materialise
 
 
@@ -41,6 +41,14 @@ def test_stages_equal_brute_force(spark, sf):
         docs = out
 
 
+def test_near_duplicates_broadcast_nothing(spark, sf, monkeypatch):
+    """What the third stage joins grows with the input; none of it may pass through the driver."""
+    plans = recorded(monkeypatch, simhash)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert 0 < corpus_pipeline.near_duplicates(spark, docs, sf).count() < docs.count()
+    assert {"links", "stars"} <= {k for k, _ in plans} and not [k for k, plan in plans if "Broadcast" in plan]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 

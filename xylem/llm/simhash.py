@@ -127,13 +127,14 @@ _FIRST_SUB = f"CASE WHEN sub < 16 THEN shiftrightunsigned({_OTHER}, 16) <> 0 OR
 
 
 def _meet(keyed: DataFrame, keys: list[str], first: str) -> DataFrame:
-    """Verified links (u < v) among rows with equal keys."""
+    """Verified links (u < v) among rows with equal keys. Spark takes a table for no larger before its rows
+    are multiplied by explode, and would broadcast all variants: the hint keeps them off the driver."""
     left, right = keyed.withColumnRenamed("fp", "u"), keyed.select(F.col("fp").alias("v"), *[F.col(k).alias(f"r_{k}") for k in keys])
     condition = F.col("u") < F.col("v")
     for k in keys:
         condition = condition & (F.col(k) == F.col(f"r_{k}"))
     condition = condition & F.expr(f"bit_count(u ^ v) <= {MOST_BITS}") & F.expr(re.sub(r"\bx\b", "(u ^ v)", first))
-    return left.join(right, condition).select("u", "v")
+    return left.join(right.hint("merge"), condition).select("u", "v")
 
 
 def links(nodes: DataFrame, hot_variant: int = HOT_VARIANT) -> DataFrame:
@@ -149,11 +150,12 @@ def links(nodes: DataFrame, hot_variant: int = HOT_VARIANT) -> DataFrame:
 
 def _with_lowest(rows: DataFrame, node: str, value: str, by: str | None = None) -> DataFrame:
     """rows and, as m, the smallest value of its node. A node's rows are never brought together: each of
-    its slots, which rows are spread over by the hash of `by` (the value), is joined by itself."""
+    its slots, which rows are spread over by the hash of `by` (the value), is joined by itself. Nothing
+    here is broadcast: edges and slots grow with the input and the driver's memory doesn't."""
     slotted = rows.withColumn("slot", F.pmod(F.xxhash64(by or value), F.lit(SLOTS)))
     slots = slotted.groupBy(node, "slot").agg(F.min(value).alias("m"))
     lowest = slots.groupBy(node).agg(F.min("m").alias("m"))
-    return slotted.join(slots.select(node, "slot").join(lowest, node), [node, "slot"]).drop("slot")
+    return slotted.join(slots.select(node, "slot").join(lowest.hint("merge"), node).hint("merge"), [node, "slot"]).drop("slot")
 
 
 def star_roots(edges: DataFrame) -> DataFrame:
@@ -179,7 +181,7 @@ def with_component(rows: DataFrame, doc_id: str = "doc_id", hot_variant: int = H
     """rows (doc_id, FP) to (FP, rep, component): the smallest doc_id with this fingerprint and in its component."""
     reps = materialise(rows.groupBy(F.col(FP).alias("fp")).agg(F.min(doc_id).alias("rep")), "fingerprints")
     roots = star_roots(materialise(links(reps.select("fp"), hot_variant), "links"))
-    placed = reps.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    placed = reps.join(roots.hint("merge"), F.col("fp") == F.col("v"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     return _with_lowest(placed, "root", "rep", by="fp").select(F.col("fp").alias(FP), "rep", F.col("m").alias("component"), "root")
 
 
