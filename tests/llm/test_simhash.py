@@ -1,11 +1,17 @@
 import random
 
+import pytest
 import xxhash
-from tests.llm.helpers import LOWER, PROSE, by_key, none, odd, rows, words
+from tests.llm.helpers import LOWER, PROSE, by_key, executed, none, odd, recorded, rows, words
 
 from xylem.llm import simhash
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    return recorded(monkeypatch, simhash)
+
+
 def fingerprint(text):
     w = words((text or "").translate(LOWER))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
@@ -65,6 +71,20 @@ def test_links_are_all_found_once(spark):
         assert sorted(map(tuple, simhash.links(nodes, hot).collect())) == expected
 
 
+def test_what_grows_is_not_broadcast(spark, plans):
+    """The variants are 64 rows for each fingerprint, whatever Spark takes their size for; in edges and slots, too, the driver holds nothing."""
+    rng = random.Random(7)
+    prints = [rng.getrandbits(63) for _ in range(100)]
+    nodes = simhash.materialise(spark.createDataFrame([(f,) for f in prints], "fp long"), "nodes")
+    for hot in (0, 1000):
+        plan = executed(simhash.links(nodes, hot))
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "Inner" in x]
+    plans.clear()
+    docs = spark.createDataFrame([(i, f"{PROSE} {i % 7} {PROSE}") for i in range(50)], "doc_id long, text string")
+    assert simhash.classes(docs).count() == 50
+    assert {"links", "stars"} <= {k for k, _ in plans} and not [k for k, plan in plans if "Broadcast" in plan]
+
+
 def test_one_of_each_component_stays(spark):
     docs = odd(spark)
     kept = simhash.keep_one(docs)
