@@ -85,6 +85,14 @@ def test_what_grows_is_not_broadcast(spark, plans):
     assert {"links", "stars"} <= {k for k, _ in plans} and not [k for k, plan in plans if "Broadcast" in plan]
 
 
+def test_components_reach_rows_without_the_driver(spark):
+    """The plan as it ran: Spark would broadcast what it then measures as small, up to its threshold."""
+    got = simhash.classes(spark.createDataFrame([(i, f"{PROSE} {i % 7} {PROSE}") for i in range(50)], "doc_id long, text string"))
+    assert len(got.collect()) == 50
+    plan = executed(got)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_of_each_component_stays(spark):
     docs = odd(spark)
     kept = simhash.keep_one(docs)

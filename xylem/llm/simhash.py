@@ -189,7 +189,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs."""
     rows = materialise(with_fingerprint(docs, keep=["doc_id"]), "simhash")
     hex16 = F.lpad(F.lower(F.hex(FP)), 16, "0")
-    return rows.join(with_component(rows).select(FP, "component"), FP, "left").select("doc_id", hex16.alias("fingerprint"), F.col("component").alias("component_id"))
+    # components, one for each fingerprint, grow with the input: not broadcast even where Spark measures them as small
+    return rows.join(with_component(rows).select(FP, "component").hint("merge"), FP, "left").select("doc_id", hex16.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
