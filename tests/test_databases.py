@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import warnings
 from datetime import UTC, datetime
 
@@ -10,6 +13,7 @@ from xylem import ConfigError, DataModel, cli
 from xylem.plans import dialects
 from xylem.sources import databases
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ROWS = [
     (1, "plain", True, datetime(2024, 3, 1, 10, 0, 0, 123456, UTC), bytearray(b"\xde\xad\xbe\xef"), 2.5),
     (2, 'back\\slash\ttab\nline\r "quoted", comma', False, None, None, -1e30),
@@ -150,3 +154,19 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["render", str(folder / "library.xsd"), "--what", "ddl", "--dialect", "mssql"]) == 0
     shown = capsys.readouterr().out
     assert "CREATE TABLE [creator]" in shown and "CREATE UNIQUE INDEX [ix_creator_record_hash]" in shown
+
+
+def test_copy_from_a_cluster(tmp_path):
+    """Executors are processes of their own and don't see what the driver has opened within its own."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from xylem import queries
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+got = queries.database_copy(spark, "/root/testdata/sf0.001")
+print("rows", got.count(), got.select("order_key").distinct().count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, timeout=600)
+    rows = duckdb.connect().execute("SELECT count(*), count(DISTINCT l_orderkey) FROM '/root/testdata/sf0.001/lineitem.parquet' WHERE l_orderkey IN (SELECT o_orderkey FROM '/root/testdata/sf0.001/orders.parquet' WHERE o_custkey IN (SELECT c_custkey FROM '/root/testdata/sf0.001/customer.parquet'))").fetchone()
+    assert f"rows {rows[0]} {rows[1]}" in done.stdout, done.stderr[-2000:]
