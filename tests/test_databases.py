@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tests.schemas import DOCUMENTS, FILES, LIBRARIES, text
-from xylem import ConfigError, DataModel, cli
+from xylem import ConfigError, DataModel, cli, queries
 from xylem.plans import dialects
 from xylem.sources import databases
 
@@ -170,3 +170,23 @@ print("rows", got.count(), got.select("order_key").distinct().count())
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, timeout=600)
     rows = duckdb.connect().execute("SELECT count(*), count(DISTINCT l_orderkey) FROM '/root/testdata/sf0.001/lineitem.parquet' WHERE l_orderkey IN (SELECT o_orderkey FROM '/root/testdata/sf0.001/orders.parquet' WHERE o_custkey IN (SELECT c_custkey FROM '/root/testdata/sf0.001/customer.parquet'))").fetchone()
     assert f"rows {rows[0]} {rows[1]}" in done.stdout, done.stderr[-2000:]
+
+
+def test_query_copies_after_each_load(spark, sf, monkeypatch):
+    added, real = [], databases.to_jdbc
+    monkeypatch.setattr(databases, "to_jdbc", lambda *args: added.append(real(*args)) or added[-1])
+    queries.database_copy(spark, sf)
+    assert len(added) == 2 and all(a["order"] > 0 and a["order_item"] > 0 for a in added)
+
+
+def test_copies_have_indexes(spark, folder, tmp_path):
+    model, url = library(spark, folder, tmp_path / "store", {"row_numbers": True}), f"jdbc:derby:memory:{tmp_path.name}"
+    model.parse_xml(DOCUMENTS[0].encode()).insert_into_target_tables()
+    for _ in range(2):
+        model.copy_to("derby", f"{url};create=true", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    found, indexed = con.getMetaData().getIndexInfo(None, None, "creator", True, False), set()
+    while found.next():
+        indexed.add(found.getString("COLUMN_NAME"))
+    con.close()
+    assert indexed == {"pk_creator", "record_hash"}
