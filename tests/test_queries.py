@@ -35,3 +35,12 @@ def test_entry_points():
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_made_once_for_both_hashes(spark, sf):
+    plan = plan_of(queries.equal_documents(spark, sf))
+    assert plan.count("to_xml(") == 1 and plan.count("from_xml(") == 2
