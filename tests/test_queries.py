@@ -44,3 +44,11 @@ def plan_of(df):
 def test_texts_are_made_once_for_both_hashes(spark, sf):
     plan = plan_of(queries.equal_documents(spark, sf))
     assert plan.count("to_xml(") == 1 and plan.count("from_xml(") == 2
+
+
+def test_texts_are_made_by_all_tasks(spark, sf):
+    assert queries.order_texts(spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_namespaces_come_without_patterns(spark, sf):
+    assert "regexp_replace(xml" not in plan_of(queries.namespaced_documents(spark, sf))

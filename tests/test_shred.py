@@ -295,3 +295,22 @@ def test_explorer(folder, tmp_path):
     explorer.update("tables: {copy: {reuse: false}}")
     explorer.save()
     assert not explorer.error and "reuse" in config.read_text() and "fk_parent_work" in explorer.page()
+
+
+def test_staged_documents_do_not_move(spark, folder, tmp_path):
+    """Repeats are dropped when documents are staged: links and children are read from the files without an exchange of documents."""
+    doc = data_model(spark, folder, tmp_path).parse_xml(files(folder))
+    doc.insert_into_temp_tables()
+    staged = doc.doc_tree_to_flat_data()
+    plan = staged.links["library_branch"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert doc.counts() == {name: len(x) for name, x in rows().items()}
+
+
+def test_repeated_documents_are_staged_once(spark, folder, tmp_path):
+    model = data_model(spark, folder, tmp_path)
+    doc = model.parse_xml(files(folder))
+    doc.parse_xml(files(folder))
+    stats = doc.insert_into_target_tables()
+    assert stats.inserted["library"] == 2 and stats.inserted["library_branch"] == 3
+    assert model.store.read("library", model.plan.schemas()["library"]).select("pk_library").distinct().count() == 2
